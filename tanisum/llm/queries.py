@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .annsearch import nearest_records
 from .copies import collapse, copies
 from .simjoin import similar_pairs
 
@@ -14,6 +16,20 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "logp_data")
+    return nearest_records(rows, id_col="rec_id", text_col="SMILES", by="delivery_id", k=5, min_similarity=0.7, lists=56)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = _neighbours(spark, d)
+    return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "logp_data")
     return similar_pairs(rows, id_col="rec_id", text_col="SMILES", by="delivery_id", threshold=0.8).select("id_a", "id_b")
@@ -34,4 +50,4 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_similarity, p6_found, p6_counts)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_similarity, p6_found, p6_counts)}

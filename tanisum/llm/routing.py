@@ -19,21 +19,21 @@ def split_keys(rows: DataFrame, by: str, block_rows: int) -> tuple[DataFrame, in
     return hot, got["hot"] or 0, max(1, min(got["keys"] or 1, max(shuffle_width(rows.sparkSession), -(-(got["rows"] or 0) // block_rows) * 2)))
 
 
-def with_blocks(rows: DataFrame, by: str, salt: str, block_rows: int) -> tuple[DataFrame, int]:
-    """Adds blocks (1 for keys of bounded size) and block (by a hash of salt); and a number of tasks that suits."""
+def with_blocks(rows: DataFrame, by: str, salt: str, block_rows: int) -> tuple[DataFrame, int, bool]:
+    """Adds blocks (1 for keys of bounded size) and block (by a hash of salt); a number of tasks that suits; whether any key is cut."""
     hot, n, width = split_keys(rows.select(by), by, block_rows)
     if not n:
-        return rows.withColumns({"blocks": F.lit(1), "block": F.lit(0)}), width
+        return rows.withColumns({"blocks": F.lit(1), "block": F.lit(0)}), width, False
     rows = rows.join(F.broadcast(hot) if n <= SMALL else hot, by, "left")
     rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    return rows.withColumn("block", F.pmod(F.xxhash64(F.col(salt)), F.col("blocks").cast("long")).cast("int")), width * 2
+    return rows.withColumn("block", F.pmod(F.xxhash64(F.col(salt)), F.col("blocks").cast("long")).cast("int")), width * 2, True
 
 
-def cells_by_key(rows: DataFrame, by: str, salt: str, block_rows: int) -> DataFrame:
-    """Rows with a cell (c1 <= c2) of their key; rows of two blocks of a key share exactly one cell."""
-    rows, width = with_blocks(rows, by, salt, block_rows)
+def cells_by_key(rows: DataFrame, by: str, salt: str, block_rows: int) -> tuple[DataFrame, bool]:
+    """Rows with a cell (c1 <= c2) of their key, and whether any key is cut; rows of two blocks share exactly one cell."""
+    rows, width, cut = with_blocks(rows, by, salt, block_rows)
     one = F.col("blocks") == 1
     other = F.explode(F.when(one, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("partner", other)
     rows = rows.withColumns({"c1": F.least("block", "partner"), "c2": F.greatest("block", "partner")}).drop("partner", "blocks")
-    return rows.repartition(width, by, "c1", "c2")
+    return rows.repartition(width, by, "c1", "c2"), cut

@@ -222,5 +222,5 @@ def similar_pairs(
                 a, b, s = a[cross], b[cross], s[cross]
         return pa.table({"id_a": pa.array(a, pa.int64()), "id_b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
-    cells = cells_by_key(rows, "by", "id", block_rows)
+    cells, _ = cells_by_key(rows, "by", "id", block_rows)
     return cells.groupBy("by", "c1", "c2").applyInArrow(join, "id_a long, id_b long, similarity double")
