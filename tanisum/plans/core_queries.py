@@ -1,4 +1,31 @@
 """Registered queries of the core operators."""
+
 from __future__ import annotations
-def queries():
-    return {}
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import badrows
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.rejected(badrows.logp_lines(_table(spark, d, "logp_raw"))).select("raw_id")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    lines = badrows.rejected(badrows.logp_lines(_table(spark, d, "logp_raw")))
+    return lines.select(F.explode("errors").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.loaded(badrows.logp_lines(_table(spark, d, "logp_raw")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded)}

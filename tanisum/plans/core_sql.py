@@ -1,2 +1,52 @@
 """SQL for DuckDB that gives the same rows as the registered core queries."""
-ORACLE: dict[str, str] = {}
+
+_P1 = r"""
+with lines as (
+  select raw_id, case when ends_with(raw_line, chr(13)) then substr(raw_line, 1, length(raw_line) - 1) else raw_line end as line
+  from logp_raw where line_no is null or line_no <> 1
+), cut as (
+  select raw_id, line, regexp_extract_all(',' || line, ',(?:"(?:[^"]|"")*"|[^",]*)') as f from lines
+), parsed as (
+  select raw_id, line, list_sum([length(x) for x in f]) = length(line) + 1 as sound, len(f) = 6 as six,
+    [case when starts_with(x, ',"') then replace(substr(x, 3, length(x) - 3), '""', '"') else substr(x, 2) end for x in f] as v
+  from cut
+), named as (
+  select raw_id, line, sound, six, v,
+    trim(v[4], ' ' || chr(9)) as s, trim(v[5], ' ' || chr(9)) as pn, trim(v[6], ' ' || chr(9)) as pi
+  from parsed
+), parts as (
+  select *, regexp_replace(s, '[^()]', '', 'g') as r, regexp_replace(s, '[^\[\]]', '', 'g') as q,
+    regexp_replace(regexp_replace(s, '\[[^\]]*\]', '', 'g'), '[^0-9]', '', 'g') as g
+  from named
+), judged as (
+  select *,
+    s <> '' as c1,
+    regexp_full_match(s, '[A-Za-z0-9()\[\]=#+\-@/\\.%:*]*') as c2,
+    coalesce(list_min([2 * length(replace(substr(r, 1, i), ')', '')) - i for i in range(1, length(r) + 1)]), 0) >= 0
+      and 2 * length(replace(r, ')', '')) = length(r) as c3,
+    replace(q, '[]', '') = '' as c4,
+    coalesce(list_sum([(length(g) - length(replace(g, d::varchar, ''))) % 2 for d in range(10)]), 0) = 0 as c5,
+    regexp_full_match(pn, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)') as c6,
+    coalesce(try_cast(pn as double) between -10 and 15, false) as c7,
+    pi = '' or regexp_full_match(pi, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)') as c8,
+    pi = '' or coalesce(try_cast(pi as double) between -10 and 15, false) as c9
+  from parts
+), reasons as (
+  select *, case when line is null then ['no line'] when not sound then ['broken quoting'] when not six then ['not 6 fields']
+    else list_filter([
+      case when not c1 then 'SMILES is empty' end, case when not c2 then 'SMILES has a foreign character' end,
+      case when not c3 then 'SMILES has unbalanced round brackets' end, case when not c4 then 'SMILES has open or nested square brackets' end,
+      case when not c5 then 'SMILES has an unclosed ring' end, case when not c6 then 'logPN isn''t a number' end,
+      case when c6 and not c7 then 'logPN is out of range' end, case when not c8 then 'logPI isn''t a number' end,
+      case when c8 and not c9 then 'logPI is out of range' end], lambda x: x is not null) end as errors
+  from judged
+)
+"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": _P1 + "select raw_id from reasons where len(errors) > 0",
+    "p1_reasons": _P1 + "select reason, count(*) as n from (select unnest(errors) as reason from reasons) group by reason",
+    "p1_loaded": _P1
+    + """select raw_id, v[1] as "DATABASE_ID", v[2] as "NAME", v[3] as "SMILES_n", s as "SMILES",
+  try_cast(pn as double) as "logPN", try_cast(pi as double) as "logPI" from reasons where len(errors) = 0""",
+}
