@@ -16,8 +16,11 @@ from .pieces import Sets, mix64
 DIM = 96
 
 
-def project(sets: Sets, dim: int = DIM) -> np.ndarray:
-    """Row sums of the tokens' fixed sign vectors, scaled so that squared lengths are kept on average."""
+def project(sets: Sets, dim: int = DIM, weights: np.ndarray | None = None) -> np.ndarray:
+    """Row sums of the tokens' fixed sign vectors, scaled so that squared lengths are kept on average.
+
+    weights: of hashed buckets of tokens; their number is a power of two.
+    """
     vocab, inv = np.unique(sets.tokens, return_inverse=True)
     signs = np.empty((len(vocab), dim), np.float32)
     for j in range(0, dim, 64):
@@ -25,6 +28,8 @@ def project(sets: Sets, dim: int = DIM) -> np.ndarray:
         w = min(64, dim - j)
         signs[:, j : j + w] = 1 - 2 * ((h[:, None] >> np.arange(w, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
     signs *= np.float32(dim**-0.5)
+    if weights is not None:
+        signs *= weights[buckets(vocab, len(weights))].astype(np.float32)[:, None]
     n = len(sets.off) - 1
     out = np.zeros((n, dim), np.float32)
     if len(vocab) <= 4096:
@@ -50,6 +55,11 @@ def project(sets: Sets, dim: int = DIM) -> np.ndarray:
     return out
 
 
+def buckets(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Hashed bucket of each token, below n, a power of two."""
+    return (mix64(tokens.astype(np.uint64), 31) & np.uint64(n - 1)).astype(np.int64)
+
+
 def nearest(x: np.ndarray, centers: np.ndarray, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centre of each row and the squared distance."""
     at = np.empty(len(x), np.int64)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .annsearch import nearest_records
+from .clusters import described, similarity_groups
 from .copies import collapse, copies
 from .simjoin import similar_pairs
 
@@ -40,6 +42,20 @@ def p4_similarity(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(rows, id_col="rec_id", text_col="SMILES", by="delivery_id", threshold=0.8)
 
 
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return similarity_groups(_table(spark, d, "logp_data"), id_col="rec_id", text_col="SMILES", by="delivery_id", threshold=0.7)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    groups = materialize(_groups(spark, d), "groups")
+    large = groups.groupBy("first_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("first_id")
+    return groups.where("id <> first_id").join(large, "first_id", "left_semi").select("first_id", F.col("id").alias("rec_id"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return described(_table(spark, d, "logp_data"), materialize(_groups(spark, d), "groups"), id_col="rec_id", text_col="SMILES")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies(_table(spark, d, "logp_data"), id_col="rec_id", first_col="SMILES_n", second_col="SMILES")
 
@@ -50,4 +66,4 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_similarity, p6_found, p6_counts)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_similarity, p5_found, p5_groups, p6_found, p6_counts)}
