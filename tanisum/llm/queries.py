@@ -11,7 +11,9 @@ from ..session import materialize
 from .annsearch import nearest_records
 from .clusters import described, similarity_groups
 from .copies import collapse, copies
+from .mojibake import restored
 from .simjoin import similar_pairs
+from .subset import varied_subset
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -32,6 +34,10 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d)
 
 
+def p3_subset(spark: SparkSession, d: str) -> DataFrame:
+    return varied_subset(_table(spark, d, "logp_data"), id_col="rec_id", text_col="SMILES", share=0.01)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "logp_data")
     return similar_pairs(rows, id_col="rec_id", text_col="SMILES", by="delivery_id", threshold=0.8).select("id_a", "id_b")
@@ -65,5 +71,13 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return collapse(rows, copies(rows, id_col="rec_id", first_col="SMILES_n", second_col="SMILES"), id_col="rec_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return restored(_table(spark, d, "documents"), id_col="doc_id", text_col="text").select(F.col("id").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return restored(_table(spark, d, "documents"), id_col="doc_id", text_col="text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p4_found, p4_similarity, p5_found, p5_groups, p6_found, p6_counts)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p3_subset, p4_found, p4_similarity, p5_found, p5_groups, p6_found, p6_counts, p9_found, p9_restored)}
