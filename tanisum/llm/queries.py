@@ -11,6 +11,8 @@ from ..session import materialize
 from .annsearch import nearest_records
 from .clusters import described, similarity_groups
 from .copies import collapse, copies
+from .leaks import leaked
+from .mixture import mixture
 from .mojibake import restored
 from .simjoin import similar_pairs
 from .subset import varied_subset
@@ -71,6 +73,27 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return collapse(rows, copies(rows, id_col="rec_id", first_col="SMILES_n", second_col="SMILES"), id_col="rec_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaked(_table(spark, d, "documents"), _table(spark, d, "eval_item"), id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(_table(spark, d, "documents"), _table(spark, d, "source_weight"), id_col="doc_id", text_col="text", source_col="source", below=["lang"])
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return restored(_table(spark, d, "documents"), id_col="doc_id", text_col="text").select(F.col("id").alias("doc_id"))
 
@@ -80,4 +103,4 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p3_subset, p4_found, p4_similarity, p5_found, p5_groups, p6_found, p6_counts, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p3_subset, p4_found, p4_similarity, p5_found, p5_groups, p6_found, p6_counts, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_restored)}
