@@ -1,17 +1,81 @@
-"""Registered queries of the core operators."""
+"""Registered queries of the core operators.
+
+Set operators run over the sign bits of ``embeddings`` (64 bits), the packed
+fingerprints of ``fp_packed`` (256 bits) and the brands that customers bought
+(``basket``, 25 bits); real ones over scaled ``embeddings`` and ``rv``. All
+doubles are rounded to eight places.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import badrows
+from .. import model
+from ..cluster import batch
+from ..operators import badrows, compsim, isim, normalize, pairwise, real, sampling, sigma
+from ..session import work_dir
+from ..sources import npy
+from ..sources.tables import read as _table
+from ..streaming import online
+
+M_EMB, M_FP, M_BASKET = 64, 256, 25
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _r(c: str | Column, name: str | None = None) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    # -0.0 and 0.0 are one value
+    c = F.round(c, 8) + F.lit(0.0)
+    return c.alias(name) if name else c
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[_r(c, c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# inputs
+
+
+def _emb(spark: SparkSession, d: str) -> DataFrame:
+    return model.from_signs(_table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+def _fp(spark: SparkSession, d: str) -> DataFrame:
+    """Packed fingerprints, each id once."""
+    return model.from_packed(model.distinct_ids(_table(spark, d, "fp_packed").select("id", "words")), "id", "words", M_FP)
+
+
+def _basket(spark: SparkSession, d: str) -> DataFrame:
+    """Which of 25 brands each customer bought."""
+    brands = _table(spark, d, "part").select("p_partkey", (F.substring("p_brand", 7, 2).cast("int") - 1).alias("bit"))
+    lines = _table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    orders = _table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("id"))
+    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(brands, F.col("l_partkey") == F.col("p_partkey"))
+    return model.from_long(bought.select("id", "bit").distinct())
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def _scaled(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.minmax(_vectors(spark, d))
+
+
+def _descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptors, each record once."""
+    return model.distinct_ids(_table(spark, d, "rv").where("id is not null").select("id", "v"))
 
 
-def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return compsim.comp_sim(_emb(spark, d), M_EMB)
+
+
+# lines that fail to parse
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,5 +91,321 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     return badrows.loaded(badrows.logp_lines(_table(spark, d, "logp_raw")))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p1_loaded)}
+# set similarity
+
+
+def isim_index(spark: SparkSession, d: str) -> DataFrame:
+    got = isim.with_counters(isim.stats(_emb(spark, d), M_EMB))
+    return got.select("n", *[_r(isim.index(k), k.lower()) for k in ("JT", "RR", "SM")])
+
+
+def isim_basket(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(isim.all_indices(_basket(spark, d), M_BASKET))
+
+
+def isim_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(isim.all_indices(_fp(spark, d), M_FP))
+
+
+def _index_query(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _rounded(isim.isim(_emb(spark, d), M_EMB, kind))
+
+    return run
+
+
+def isim_all_indices(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(isim.all_indices(_emb(spark, d), M_EMB))
+
+
+def isim_counters(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(isim.with_counters(isim.stats(_emb(spark, d), M_EMB)).drop("c"))
+
+
+def isim_counters_k2(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(isim.with_counters(isim.stats(_emb(spark, d), M_EMB), 2).drop("c"))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return _emb(spark, d).join(_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+
+
+def isim_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(isim.isim(_labelled(spark, d), M_EMB, by="label"))
+
+
+def centroid_by_label(spark: SparkSession, d: str) -> DataFrame:
+    got = isim.centroids(isim.stats(_labelled(spark, d), M_EMB, "label"))
+    return got.select("label", F.explode("on").alias("bit"))
+
+
+def column_sums(spark: SparkSession, d: str) -> DataFrame:
+    return isim.stats(_fp(spark, d), M_FP).select(F.posexplode("c").alias("bit", "c"))
+
+
+# layouts
+
+
+def pack_words(spark: SparkSession, d: str) -> DataFrame:
+    return _emb(spark, d).select("id", model.to_packed(F.col("on"), M_EMB)[0].alias("word"))
+
+
+def unpack_bits(spark: SparkSession, d: str) -> DataFrame:
+    return model.to_long(_fp(spark, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n_on"), F.sum("bit").alias("bit_sum"))
+
+
+def popcounts(spark: SparkSession, d: str) -> DataFrame:
+    rows = model.distinct_ids(_table(spark, d, "fp_packed").select("id", "words"))
+    return rows.select("id", model.popcount(F.col("words")).alias("n_on"))
+
+
+def flip_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _emb(spark, d).select("id", F.size(model.flipped(F.col("on"), M_EMB)).alias("n_off"))
+
+
+def union_words(spark: SparkSession, d: str) -> DataFrame:
+    """Column sums of two halves, added up."""
+    fp = _emb(spark, d)
+    half = lambda k: isim.stats(fp.where(F.col("id") % 2 == k), M_EMB).select(F.col("c").alias(f"c{k}"))
+    # two tables of one row
+    return half(0).join(F.broadcast(half(1))).select(F.posexplode(isim.merged(F.col("c0"), F.col("c1"))).alias("bit", "c"))
+
+
+# leaving one out
+
+
+def _comp_query(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _rounded(compsim.comp_sim(_emb(spark, d), M_EMB, kind))
+
+    return run
+
+
+def comp_sim_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(compsim.comp_sim(_fp(spark, d), M_FP))
+
+
+def medoid(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(compsim.medoid(_scores(spark, d)))
+
+
+def outlier(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(compsim.outlier(_scores(spark, d)))
+
+
+# samples
+
+
+def sample_medoid(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.medoid_sample(_scores(spark, d))
+
+
+def sample_outlier(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.outlier_sample(_scores(spark, d))
+
+
+def sample_extremes(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.extremes_sample(_scores(spark, d))
+
+
+def sample_stratified(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stratified_sample(_scores(spark, d))
+
+
+def sample_strata7(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stratified_sample(_scores(spark, d), 10, 7)
+
+
+def sample_quota(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.quota_sample(_scores(spark, d), 10, 10)
+
+
+def sample_quota_soft(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.quota_sample(_scores(spark, d), 10, 10, hard_cap=False)
+
+
+def sample_medoid_packed(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.medoid_sample(compsim.comp_sim(_fp(spark, d), M_FP), 1)
+
+
+# pairs
+
+
+def _pair_query(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _rounded(pairwise.average(_emb(spark, d), M_EMB, kind))
+
+    return run
+
+
+def pairwise_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(pairwise.matrix(_emb(spark, d), M_EMB))
+
+
+def one_against_many(spark: SparkSession, d: str) -> DataFrame:
+    """Every packed fingerprint against that of the least id."""
+    rows = model.distinct_ids(_table(spark, d, "fp_packed").select("id", "words"))
+    return _rounded(pairwise.against(rows, rows.orderBy("id").limit(1)))
+
+
+def topk_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    fp = _emb(spark, d)
+    return _rounded(pairwise.nearest(fp, fp.where(F.col("id") % 50 == 0), M_EMB))
+
+
+# real vectors
+
+
+def minmax(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_scaled(spark, d).select("id", F.posexplode("v").alias("pos", "x")))
+
+
+def minmax_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(normalize.minmax(_descriptors(spark, d)).select("id", F.posexplode("v").alias("pos", "x")))
+
+
+def drop_nan_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(normalize.without_nan(_descriptors(spark, d)).select("id", F.posexplode("v").alias("pos", "x")))
+
+
+def _real_isim_query(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _rounded(real.isim(_scaled(spark, d), kind))
+
+    return run
+
+
+def real_isim_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(real.isim(normalize.minmax(_descriptors(spark, d))))
+
+
+def _real_comp_query(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _rounded(real.comp_sim(_scaled(spark, d), kind))
+
+    return run
+
+
+def real_medoid(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(compsim.medoid(real.comp_sim(_scaled(spark, d))))
+
+
+def real_outlier(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(compsim.outlier(real.comp_sim(_scaled(spark, d))))
+
+
+def _real_pair_query(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rv = _scaled(spark, d)
+        return _rounded(pairwise.average_real(rv, normalize.width(rv), kind))
+
+    return run
+
+
+def real_pair_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Each scaled vector against its own complement."""
+    rv = _scaled(spark, d)
+    return rv.select("id", *[_r(real.pair(k, F.col("v"), normalize.complement(F.col("v"))), k.lower()) for k in real.KINDS], _r(real.pair("RR", F.col("v"), normalize.squared(F.col("v")), 10), "rr10"))
+
+
+# dispersion
+
+
+def _sigma_query(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _rounded(sigma.fast(_emb(spark, d), M_EMB, kind))
+
+    return run
+
+
+def sigma_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(sigma.fast(_fp(spark, d), M_FP, "RR"))
+
+
+def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    return sigma.cooccurrence(_basket(spark, d), M_BASKET)
+
+
+def stratified_sigma(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(sigma.stratified(_emb(spark, d), M_EMB))
+
+
+def random_sigma(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(sigma.at_random(_emb(spark, d), M_EMB))
+
+
+# clusters
+
+
+def _cluster_query(method: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return batch.assignments(batch.exact(_emb(spark, d), M_EMB, method=method, threshold=0.4))
+
+    return run
+
+
+def cluster_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return batch.exact(_labelled(spark, d), M_EMB, by="label", threshold=0.4).select("label", "ord", "n", F.array_min("ids").alias("first_id"))
+
+
+def cluster_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return batch.assignments(batch.rounds(_emb(spark, d), M_EMB, rows_per_part=200, bin_size=3, threshold=0.4))
+
+
+def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
+    got = batch.centroids(batch.exact(_emb(spark, d), M_EMB, threshold=0.4))
+    return got.select("ord", "n", F.size("on").alias("n_on"))
+
+
+def cluster_refined(spark: SparkSession, d: str) -> DataFrame:
+    """The largest cluster broken up into its objects, after the other clusters."""
+    fp = _emb(spark, d)
+    rest, singles = batch.largest_broken_up(batch.exact(fp, M_EMB, threshold=0.4), fp, M_EMB)
+    return rest.select("n", "ids").unionByName(singles.select("n", "ids")).select("n", F.array_min("ids").alias("first_id"))
+
+
+# sources and streams
+
+
+def npy_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Dense bits written to and read from numpy files."""
+    npy.register(spark)
+    # a path that all executors see, as the shared folder is
+    folder = f"{work_dir(spark)}/npy-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    dense = _emb(spark, d).select("id", model.to_dense(F.col("on"), M_EMB).alias("row")).repartitionByRange(4, "id")
+    dense.write.format("npy").mode("overwrite").option("path", folder).save()
+    back = spark.read.format("npy").option("slices", "true").load(folder)
+    return back.select("id", F.aggregate("row", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("n_on"))
+
+
+def stream_isim(spark: SparkSession, d: str) -> DataFrame:
+    """Set similarity of packed fingerprints that came as a stream."""
+    folder = work_dir(spark)
+    # a table is one file or a folder of files; streams read folders
+    parent, _, file = _table(spark, d, "fp_packed").inputFiles()[0].rpartition("/")
+    only = "*.parquet" if parent.endswith("fp_packed.parquet") else file
+    source = spark.readStream.schema("id long, words array<long>").option("maxFilesPerTrigger", 4).option("pathGlobFilter", only).parquet(parent)
+    sums = online.live_sums(model.from_packed(source, "id", "words", M_FP), M_FP)
+    name = f"live_{uuid.uuid4().hex}"
+    # complete mode: the sums are m + 1 rows
+    query = sums.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _rounded(online.isim_of(spark.table(name), M_FP))
+
+
+def queries() -> dict[str, Query]:
+    named = (
+        p1_found, p1_reasons, p1_loaded, isim_index, isim_basket, isim_packed, isim_all_indices, isim_counters, isim_counters_k2, isim_by_label, centroid_by_label,
+        column_sums, pack_words, unpack_bits, popcounts, flip_counts, union_words, comp_sim_packed, medoid, outlier, sample_medoid, sample_outlier,
+        sample_extremes, sample_stratified, sample_strata7, sample_quota, sample_quota_soft, sample_medoid_packed, pairwise_matrix, one_against_many,
+        topk_neighbors, minmax, minmax_descriptors, drop_nan_columns, real_isim_descriptors, real_medoid, real_outlier, real_pair_functions, sigma_packed, cooccurrence,
+        stratified_sigma, random_sigma, cluster_by_label, cluster_rounds, cluster_centroids, cluster_refined, npy_round_trip, stream_isim,
+    )
+    found: dict[str, Query] = {f.__name__: f for f in named}
+    for kind in ("JT", "RR", "SM"):
+        k = kind.lower()
+        found |= {f"isim_index_{k}": _index_query(kind), f"comp_sim_{k}": _comp_query(kind), f"pairwise_{k}_avg_std": _pair_query(kind), f"real_isim_{k}": _real_isim_query(kind)}
+        found |= {f"real_comp_sim_{k}": _real_comp_query(kind), f"real_pairwise_{k}": _real_pair_query(kind), f"sigma_{k}": _sigma_query(kind)}
+    for method in ("radius", "diameter", "tolerance", "tolerance_tough"):
+        found[f"cluster_exact_{method}"] = _cluster_query(method)
+    return found
