@@ -145,7 +145,7 @@ def mixture(
     nothing; other null values of the tree's columns are a value of their own,
     told apart in lower case. Repeated rows are documents of their own; empty
     tables give an empty mixture and a report of zeros. Leaves take whole
-    documents, so a leaf can stay under its budget by less than one document.
+    documents: the one that reaches a leaf's budget is taken if half of it fits.
     """
     levels = ["source", *[f"l{i}" for i in range(len(below))]]
     rows = df.select(
@@ -174,7 +174,7 @@ def mixture(
     sure = docs.withColumn("more", ((F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("at") < F.col("edge")))).cast("int"))
     # documents of one stretch a leaf
     within = F.sum("n_tokens").over(Window.partitionBy(*levels).orderBy("h", "id"))
-    near = sure.where("rest > 0 and at = edge").withColumn("more", (F.col("before") + within <= F.col("rest")).cast("int"))
+    near = sure.where("rest > 0 and at = edge").withColumn("more", (F.col("before") + within - F.col("n_tokens") / 2 <= F.col("rest")).cast("int"))
     columns = ["id", "source", "n_tokens", (F.col("epochs") + F.col("more")).alias("n_used")]
     mixed = sure.where("not coalesce(rest > 0 and at = edge, false)").select(*columns).unionByName(near.select(*columns)).where("n_used > 0")
     mixed = materialize(mixed, "mixture")
