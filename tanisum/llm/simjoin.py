@@ -4,8 +4,9 @@ Every record's tokens are ordered from rare to frequent. Two sets with
 similarity >= t share at least j tokens among the first
 ``n - ceil(t n) + j`` of each, for j = 1, 2, 3. A record is posted under each
 single token of its 1-prefix where that token's list is short; where it is
-long, under combinations with a second token of the 2-prefix, and where that
-list is long too, under combinations of three. Two similar sets always meet
+long and another token is cheaper than comparing its rows, under combinations
+with a second token of the 2-prefix, and where that list is long too, under
+combinations of three. Two similar sets always meet
 under the combination of their first shared tokens, so nothing is lost, and
 frequent tokens never post alone. Meetings pass a length filter, then shared
 tokens are counted exactly.
@@ -77,10 +78,14 @@ def _postings(sets: Sets, t: float) -> Iterator[Postings]:
         key, before, row, pos = key[order], before[order], row[order], pos[order]
         _, length = _runs(key)
         size = np.repeat(length, length)
-        done = (size > 1) & ((size <= SHORT_LIST) | (level == depth))
+        # another token must cost less than comparing the list's rows
+        left = np.maximum(np.minimum(base[row] + level + 1, n[row]) - pos - 1, 0)
+        start = np.cumsum(length) - length
+        cost = np.repeat(np.add.reduceat(left, start), length) if len(left) else left
+        more = (size > SHORT_LIST) & (cost < size * (size - 1) // 2) & (level < depth)
+        done = (size > 1) & ~more
         yield Postings(key[done], before[done], row[done], pos[done] - (level - 1))
-        more = size > SHORT_LIST
-        if level == depth or not more.any():
+        if not more.any():
             return
         key, before, row, pos = key[more], before[more], row[more], pos[more]
         src, nxt = expand(row, pos + 1, level + 1)
@@ -174,11 +179,21 @@ def join_block(strings: list[str | None], ids: np.ndarray, side: np.ndarray, t:
         flip = side[x] > side[y]
         x, y = np.where(flip, y, x), np.where(flip, x, y)
         code = np.unique(x * np.int64(max(1, len(ids))) + y, return_index=True)[1]
-        return ids[x[code]], ids[y[code]], s[code]
-    keep = (ids[x] < ids[y]) | (group[x] != group[y])
+        return _once(ids[x[code]], ids[y[code]], s[code], ids)
+    keep = (ids[x] < ids[y]) | ((group[x] != group[y]) & (ids[x] != ids[y]))
     x, y, s = x[keep], y[keep], s[keep]
     swap = ids[x] > ids[y]
-    return np.where(swap, ids[y], ids[x]), np.where(swap, ids[x], ids[y]), s
+    return _once(np.where(swap, ids[y], ids[x]), np.where(swap, ids[x], ids[y]), s, ids)
+
+
+def _once(a: np.ndarray, b: np.ndarray, s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of ids once each, with their greatest similarity, where rows repeat ids."""
+    if len(np.unique(ids)) == len(ids):
+        return a, b, s
+    o = np.lexsort((-s, b, a))
+    a, b, s = a[o], b[o], s[o]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    return a[new], b[new], s[new]
 
 
 def similar_pairs(
@@ -188,8 +203,10 @@ def similar_pairs(
 
     Within df: ``id_a < id_b``. With other: ``id_a`` from df and ``id_b`` from
     other. Rows with a null id, ``by`` or text, and texts whose plain form is
-    shorter than a piece, pair with nothing. Copies are rows of their own.
-    Other columns are not read, whatever their names. A value of ``by`` with
+    shorter than a piece, pair with nothing. Copies are rows of their own;
+    rows that repeat an id give each pair of ids once, with its greatest
+    similarity, and no pair of an id with itself (across two tables, equal ids
+    are different records). Other columns are not read, whatever their names. A value of ``by`` with
     more than ``block_rows`` rows is cut into blocks that are joined two by
     two through the same index, so no task gets more than two blocks.
     Empty tables give an empty result.
