@@ -14,32 +14,36 @@ from pyspark.sql import functions as F
 _MARK = "\x01"
 
 
-def csv_fields(line: Column, names: Sequence[str]) -> tuple[Column, Column]:
-    """Fields of one delimited line as an array of text, null where quoting is broken; and the quoting's soundness.
+def quoted_parts(line: Column) -> Column:
+    """What stands between the double quotes of a line; at even places outside of them."""
+    return F.split(line, '"', -1)
 
-    A field is free of double quotes, or wholly enclosed in them with inner
-    ones doubled. Splitting at the quotes leaves what stands outside them at
-    even places; each such part must be empty or touch its quotes with commas.
+
+def sound_quoting(parts: Column, n: Column) -> Column:
+    """Whether each field is free of double quotes, or wholly enclosed in them with inner ones doubled.
+
+    Each part outside must be empty (a doubled quote) or touch its quotes with commas. n: number of parts.
     """
-    parts = F.split(line, '"', -1)
-    n = F.size(parts)
 
-    def outside(x: Column, i: Column) -> Column:
+    def fine(x: Column, i: Column) -> Column:
         opens = (i == n - 1) | x.endswith(",")
         closes = (i == 0) | x.startswith(",")
         return (i % 2 == 1) | (x == "") | (opens & closes)
 
-    sound = (n % 2 == 1) & F.forall(F.transform(parts, outside), lambda ok: ok)
+    return (n == 1) | ((n % 2 == 1) & F.forall(F.transform(parts, fine), lambda ok: ok))
+
+
+def csv_fields(line: Column, parts: Column, n: Column) -> Column:
+    """Fields of a line with sound quoting as an array of text."""
     hide = lambda x: F.replace(F.replace(x, F.lit(_MARK), F.lit(_MARK + "a")), F.lit(","), F.lit(_MARK + "b"))
     show = lambda x: F.replace(F.replace(x, F.lit(_MARK + "b"), F.lit(",")), F.lit(_MARK + "a"), F.lit(_MARK))
-    hidden = F.when(n == 1, line).otherwise(F.concat_ws('"', F.transform(parts, lambda x, i: F.when(i % 2 == 1, hide(x)).otherwise(x))))
+    hidden = F.concat_ws('"', F.transform(parts, lambda x, i: F.when(i % 2 == 1, hide(x)).otherwise(x)))
 
     def bare(x: Column) -> Column:
         inner = F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
         return F.when(x.startswith('"'), show(inner)).otherwise(x)
 
-    fields = F.split(hidden, ",", -1)
-    return F.when(sound, F.when(n == 1, fields).otherwise(F.transform(fields, bare))), sound
+    return F.when(n == 1, F.split(line, ",", -1)).otherwise(F.transform(F.split(hidden, ",", -1), bare))
 
 
 def trimmed(c: Column) -> Column:
@@ -62,10 +66,8 @@ def flat_brackets(c: Column) -> Column:
 def even_digits(c: Column) -> Column:
     """Whether each digit outside square brackets occurs an even number of times."""
     digits = F.regexp_replace(F.regexp_replace(c, r"\[[^\]]*\]", ""), "[^0-9]", "")
-    ok = F.lit(True)
-    for d in "0123456789":
-        ok &= (F.length(digits) - F.length(F.replace(digits, F.lit(d), F.lit("")))) % 2 == 0
-    return ok
+    # equal digits side by side; nothing is left when they pair off
+    return F.regexp_replace(F.array_join(F.array_sort(F.split(digits, "")), ""), r"(\d)\1", "") == ""
 
 
 def plain_number(c: Column) -> Column:
@@ -110,8 +112,10 @@ def with_errors(df: DataFrame, line_col: str, names: Sequence[str], trim: Sequen
     line = F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
     own = [c for c in df.columns if c not in {*names, "errors"}]
     df = _computed(df, own, __line=line)
-    fields, sound = csv_fields(F.col("__line"), names)
-    df = _computed(df, [*own, "__line"], __fields=fields, __sound=sound)
+    df = _computed(df, [*own, "__line"], __parts=quoted_parts(F.col("__line")))
+    n = F.size("__parts")
+    df = _computed(df, [*own, "__line", "__parts"], __sound=sound_quoting(F.col("__parts"), n))
+    df = _computed(df, [*own, "__line", "__sound"], __fields=F.when(F.col("__sound"), csv_fields(F.col("__line"), F.col("__parts"), n)))
     whole = F.coalesce(F.col("__sound") & (F.size("__fields") == len(names)), F.lit(False))
     values = {}
     for i, name in enumerate(names):
@@ -121,7 +125,7 @@ def with_errors(df: DataFrame, line_col: str, names: Sequence[str], trim: Sequen
     checks = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(reason)) for reason, ok in rules.items()]))
     errors = (
         F.when(F.col("__line").isNull(), F.array(F.lit("no line")))
-        .when(~F.col("__sound"), F.array(F.lit("broken quoting")))
+        .when(~F.coalesce(F.col("__sound"), F.lit(False)), F.array(F.lit("broken quoting")))
         .when(~F.col("__whole"), F.array(F.lit(f"not {len(names)} fields")))
         .otherwise(checks)
     )
