@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import to_packed
 from ..plans.blocks import block_pairs
 
 BLOCK = 2000
@@ -118,6 +119,11 @@ def against(packed: DataFrame, query: DataFrame) -> DataFrame:
     return packed.join(F.broadcast(one)).select("id", tanimoto(F.col("words"), F.col("query_words")).alias("sim"))
 
 
+def tanimoto_mixed(on: Column, words: Column, m: int) -> Column:
+    """Tanimoto similarity of on-bits with packed words."""
+    return tanimoto(to_packed(on, m), words)
+
+
 def nearest(fp: DataFrame, queries: DataFrame, m: int, k: int = 5, kind: str = "JT") -> DataFrame:
     """``id``, ``neighbour``, ``sim``, ``rank``: for each query the k most similar other objects, ties by id."""
     _kind(kind)

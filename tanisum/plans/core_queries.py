@@ -20,6 +20,7 @@ from ..operators import badrows, compsim, isim, normalize, pairwise, real, sampl
 from ..session import work_dir
 from ..sources import npy
 from ..sources.tables import read as _table
+from ..sources.tables import read_structures
 from ..streaming import online
 
 M_EMB, M_FP, M_BASKET = 64, 256, 25
@@ -224,6 +225,16 @@ def sample_quota_soft(spark: SparkSession, d: str) -> DataFrame:
     return sampling.quota_sample(_scores(spark, d), 10, 10, hard_cap=False)
 
 
+def sample_random(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.random_sample(_emb(spark, d).select("id"), 50)
+
+
+def mixed_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Each fingerprint's bits against its own words."""
+    fp = _emb(spark, d)
+    return _rounded(fp.select("id", pairwise.tanimoto_mixed(F.col("on"), model.to_packed(F.col("on"), M_EMB), M_EMB).alias("sim")))
+
+
 def sample_medoid_packed(spark: SparkSession, d: str) -> DataFrame:
     return sampling.medoid_sample(compsim.comp_sim(_fp(spark, d), M_FP), 1)
 
@@ -378,6 +389,26 @@ def npy_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("id", F.aggregate("row", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("n_on"))
 
 
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Structures written to and read from CSV with quoted fields."""
+    rows = _table(spark, d, "logp_data").select("DATABASE_ID", "NAME", "SMILES_n", "SMILES", "logPN", "logPI").where("NAME is not null")
+    folder = f"{work_dir(spark)}/csv-{uuid.uuid4().hex}"
+    # line breaks inside of structures would cut a line in two
+    flat = rows.withColumns({c: F.translate(c, "\r\n", "  ") for c in ("NAME", "SMILES_n", "SMILES")})
+    flat.write.csv(folder, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = read_structures(spark, folder)
+    return back.select(F.count(F.lit(1)).alias("n"), F.sum(F.length("NAME")).alias("name_chars"), F.count(F.when(F.col("logPN").isNull(), 1)).alias("no_logpn"), F.countDistinct("NAME").alias("names"))
+
+
+def stream_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the embeddings' sign bits that came in two batches."""
+    fp = _emb(spark, d)
+    clusters = online.OnlineClusters(f"{work_dir(spark)}/online-{uuid.uuid4().hex}", M_EMB, threshold=0.4)
+    for k in (0, 1):
+        clusters.update(fp.where(F.col("id") % 2 == k), k)
+    return batch.assignments(clusters.snapshot(spark, 1))
+
+
 def stream_isim(spark: SparkSession, d: str) -> DataFrame:
     """Set similarity of packed fingerprints that came as a stream."""
     folder = work_dir(spark)
@@ -399,7 +430,7 @@ def queries() -> dict[str, Query]:
         column_sums, pack_words, unpack_bits, popcounts, flip_counts, union_words, comp_sim_packed, medoid, outlier, sample_medoid, sample_outlier,
         sample_extremes, sample_stratified, sample_strata7, sample_quota, sample_quota_soft, sample_medoid_packed, pairwise_matrix, one_against_many,
         topk_neighbors, minmax, minmax_descriptors, drop_nan_columns, real_isim_descriptors, real_medoid, real_outlier, real_pair_functions, sigma_packed, cooccurrence,
-        stratified_sigma, random_sigma, cluster_by_label, cluster_rounds, cluster_centroids, cluster_refined, npy_round_trip, stream_isim,
+        stratified_sigma, random_sigma, cluster_by_label, cluster_rounds, cluster_centroids, cluster_refined, npy_round_trip, csv_round_trip, sample_random, mixed_layouts, stream_isim, stream_clusters,
     )
     found: dict[str, Query] = {f.__name__: f for f in named}
     for kind in ("JT", "RR", "SM"):

@@ -252,6 +252,9 @@ fp2 as (select * from fp where id in (select id from ids2)), sz as (select ids2.
 dots as (select a.id as i, b.id as j, count(*) as x from fp2 a join fp2 b on a.bit = b.bit and a.id < b.id group by 1, 2),
 prs as (select a.k as ka, b.k as kb, coalesce(x, 0) as x from sz a join sz b on a.id < b.id left join dots on dots.i = a.id and dots.j = b.id)
 select round(avg({_PAIR['JT']}), 8) as mean, round(stddev_pop({_PAIR['JT']}), 8) as std from prs""",
+    "csv_round_trip": """select count(*) as n, sum(length(NAME))::bigint as name_chars, count(*) filter (logPN is null) as no_logpn,
+  count(distinct translate(NAME, chr(13) || chr(10), '  ')) as names from logp_data where NAME is not null""",
+    "mixed_layouts": "select vec_id as id, case when len(list_filter(embedding, lambda x: x > 0)) > 0 then 1.0 end as sim from embeddings",
     "npy_round_trip": "select vec_id as id, len(list_filter(embedding, lambda x: x > 0)) as n_on from embeddings",
     "stream_isim": f"""with w as (select row_number() over () as id, words from fp_packed where id is not null and words is not null),
 fp as (select id, bit from w, range(256) t(bit) where ((words[bit // 64 + 1] >> (bit % 64)) & 1) = 1), ids as (select id from w), {_sums(256)}{_counters()}

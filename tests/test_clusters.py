@@ -159,3 +159,21 @@ def test_windowed_sums(spark, fp, tmp_path):
     q.awaitTermination()
     counts = [r["x"] for r in spark.table("live_w").where("bit = -1").orderBy("window").collect()]
     assert counts == [60] * 5
+
+
+def test_command_line(spark, fp, tmp_path):
+    from tanisum.cluster.__main__ import main
+
+    x = np.array([[int(c) for c in r] for r in random_rows()])
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        np.save(tmp_path / "in" / f"fps_{k}_{k * 100}.npy", np.packbits(x[k * 100 : k * 100 + 100], axis=1))
+    options = [str(tmp_path / "in"), str(tmp_path / "out"), "--bits", "32", "--threshold", "0.6", "--rows-per-part", "100"]
+    main(options, spark)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(i for r in got.collect() for i in r["ids"]) == list(range(300))
+    assert table_parts(got) == table_parts(batch.rounds(fp, 32, rows_per_part=100, threshold=0.6))
+    with pytest.raises(Exception, match="already exists"):
+        main(options, spark)
+    main([*options[:1], str(tmp_path / "first"), *options[2:], "--only-first-round", "--max-files", "2"], spark)
+    assert spark.read.parquet(str(tmp_path / "first" / "round=1")).agg(F.sum("n")).first()[0] == 200
