@@ -18,6 +18,9 @@ from .pieces import Bits, Sets, dense_ids, distinct_sets, pieces
 from .quantize import Codebooks, encode, project, train
 from .routing import cells_by_key
 
+#: Scores that are made at a time.
+SCORES = 2_000_000
+
 SCHEMA = "id long, neighbour long, similarity double"
 
 
@@ -35,15 +38,18 @@ def _shortlists(x: np.ndarray, codes: np.ndarray, norms: np.ndarray, cb: Codeboo
         if not len(own):
             continue
         cand = np.concatenate([order[start[v] : start[v + 1]] for v in near[c, :lists]])
-        table = np.ascontiguousarray(-2 * cb.flat @ x[own].T).reshape(books, words, len(own))
         code = codes[cand]
-        score = np.repeat(norms[cand][:, None], len(own), axis=1)
-        for m in range(books):
-            score += table[m][code[:, m]]
-        score = np.ascontiguousarray(score.T)
         k = min(size, len(cand))
-        best = np.argpartition(score, k - 1, axis=1)[:, :k] if k < len(cand) else np.broadcast_to(np.arange(k), (len(own), k))
-        yield own, cand[best]
+        step = max(1, SCORES // len(cand))
+        for lo in range(0, len(own), step):
+            part = own[lo : lo + step]
+            table = np.ascontiguousarray(-2 * cb.flat @ x[part].T).reshape(books, words, len(part))
+            score = np.repeat(norms[cand][:, None], len(part), axis=1)
+            for m in range(books):
+                score += table[m][code[:, m]]
+            score = np.ascontiguousarray(score.T)
+            best = np.argpartition(score, k - 1, axis=1)[:, :k] if k < len(cand) else np.broadcast_to(np.arange(k), (len(part), k))
+            yield part, cand[best]
 
 
 def neighbour_rows(own: Sets, raw: Sets, cb: Codebooks, k: int, least: float, first_id: np.ndarray, lists: int, size: int, seen: np.ndarray | None = None):
@@ -128,7 +134,7 @@ def nearest_records(
     words: int = 64,
     lists: int = 32,
     shortlist: int = 320,
-    block_rows: int = 24_000,
+    block_rows: int = 16_000,
 ) -> DataFrame:
     """Rows ``id``, ``neighbour``, ``similarity``: the k most similar other records with equal ``by``.
 

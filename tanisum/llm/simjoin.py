@@ -27,6 +27,8 @@ from .routing import cells_by_key
 
 #: Lists up to this length are joined as they are; longer ones get another token.
 SHORT_LIST = 300
+#: Combinations that are made at a time.
+EXPANDED = 1_000_000
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,24 +65,17 @@ def _postings(sets: Sets, t: float) -> Iterator[Postings]:
         src = np.repeat(np.arange(len(rows)), k)
         return src, np.arange(len(src)) - np.repeat(np.cumsum(k) - k - first, k)
 
-    rows = np.flatnonzero(n > 0)
-    src, pos = expand(rows, np.zeros(len(rows), np.int64), 1)
-    row = rows[src]
-    at = sets.off[row] + pos
-    key = mix64(tokens[at].astype(np.uint64), 11)
-    before = np.where(pos > 0, tokens[at - 1] + 1, 0)
-    for level in range(1, depth + 1):
+    def lists(key: np.ndarray, before: np.ndarray, row: np.ndarray, pos: np.ndarray, level: int) -> Iterator[Postings]:
         if narrow:  # one sort; keys that clash in 44 bits cost some checks
             key &= np.uint64(2**64 - 2**20)
             order = np.argsort(key | before.astype(np.uint64))
         else:
             order = np.lexsort((before, key))
         key, before, row, pos = key[order], before[order], row[order], pos[order]
-        _, length = _runs(key)
+        start, length = _runs(key)
         size = np.repeat(length, length)
         # another token must cost less than comparing the list's rows
         left = np.maximum(np.minimum(base[row] + level + 1, n[row]) - pos - 1, 0)
-        start = np.cumsum(length) - length
         cost = np.repeat(np.add.reduceat(left, start), length) if len(left) else left
         more = (size > SHORT_LIST) & (cost < size * (size - 1) // 2) & (level < depth)
         done = (size > 1) & ~more
@@ -88,15 +83,28 @@ def _postings(sets: Sets, t: float) -> Iterator[Postings]:
         if not more.any():
             return
         key, before, row, pos = key[more], before[more], row[more], pos[more]
-        src, nxt = expand(row, pos + 1, level + 1)
-        row, last = row[src], pos[src]
-        at = sets.off[row] + nxt
-        key = mix64(key[src] ^ tokens[at].astype(np.uint64), 11 + level)
-        before = np.where(nxt - 1 > last, tokens[at - 1] + 1, before[src])
-        pos = nxt
+        # combinations of different lists never meet, so lists are expanded some at a time
+        start, length = _runs(key)
+        total = np.concatenate([[0], np.cumsum(np.add.reduceat(left[more], start))])
+        lo = 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + EXPANDED, side="right")) - 1)
+            at = slice(start[lo], start[hi - 1] + length[hi - 1])
+            src, nxt = expand(row[at], pos[at] + 1, level + 1)
+            mine, last = row[at][src], pos[at][src]
+            token = sets.off[mine] + nxt
+            deeper = mix64(key[at][src] ^ tokens[token].astype(np.uint64), 11 + level)
+            yield from lists(deeper, np.where(nxt - 1 > last, tokens[token - 1] + 1, before[at][src]), mine, nxt, level + 1)
+            lo = hi
+
+    rows = np.flatnonzero(n > 0)
+    src, pos = expand(rows, np.zeros(len(rows), np.int64), 1)
+    row = rows[src]
+    at = sets.off[row] + pos
+    yield from lists(mix64(tokens[at].astype(np.uint64), 11), np.where(pos > 0, tokens[at - 1] + 1, 0), row, pos, 1)
 
 
-def _meetings(p: Postings, n: np.ndarray, t: float, step: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(p: Postings, n: np.ndarray, t: float, step: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Chunks of row pairs whose first shared tokens can be the combination they meet under.
 
     Rows of a list with the same token before its last one share that token
@@ -197,7 +205,7 @@ def _once(a: np.ndarray, b: np.ndarray, s: np.ndarray, ids: np.ndarray) -> tuple
 
 
 def similar_pairs(
-    df: DataFrame, other: DataFrame | None = None, *, id_col: str, text_col: str, by: str, threshold: float = 0.8, block_rows: int = 24_000
+    df: DataFrame, other: DataFrame | None = None, *, id_col: str, text_col: str, by: str, threshold: float = 0.8, block_rows: int = 16_000
 ) -> DataFrame:
     """All pairs of rows with equal ``by`` whose texts' piece sets have Tanimoto similarity >= threshold.
 

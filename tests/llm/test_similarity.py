@@ -65,7 +65,7 @@ def test_plain_form_and_pieces():
 
 
 @pytest.mark.parametrize("t", [0.6, 0.7, 0.8, 0.95, 1.0])
-@pytest.mark.parametrize("block", [24_000, 20])
+@pytest.mark.parametrize("block", [16_000, 20])
 def test_join_is_exact(table, rows, t, block):
     got = simjoin.similar_pairs(table, id_col="rec", text_col="s", by="grp", threshold=t, block_rows=block).collect()
     want = pairs_of(rows, t)
@@ -75,13 +75,14 @@ def test_join_is_exact(table, rows, t, block):
 
 def test_join_with_short_lists_only(table, rows, monkeypatch):
     monkeypatch.setattr(simjoin, "SHORT_LIST", 2)
+    monkeypatch.setattr(simjoin, "EXPANDED", 50)
     strings = [r[2] for r in rows if r[1] == 1]
     ids = np.array([r[0] for r in rows if r[1] == 1])
     a, b, _ = simjoin.join_block(strings, ids, np.zeros(len(ids)), 0.8, False)
     assert set(zip(a.tolist(), b.tolist())) == {k for k in pairs_of(rows, 0.8) if k[0] in set(ids.tolist())}
 
 
-@pytest.mark.parametrize("block", [24_000, 15])
+@pytest.mark.parametrize("block", [16_000, 15])
 def test_join_of_two_tables(spark, rows, block):
     left, right = rows[::2], rows[1::2]
     got = simjoin.similar_pairs(spark.createDataFrame(left, COLUMNS), spark.createDataFrame(right, COLUMNS), id_col="rec", text_col="s", by="grp", threshold=0.8, block_rows=block)
@@ -106,7 +107,7 @@ def best_of(rows, k, least):
     return out
 
 
-@pytest.mark.parametrize("block", [24_000, 20])
+@pytest.mark.parametrize("block", [16_000, 20])
 def test_nearest_records(table, rows, block):
     got = nearest_records(table, id_col="rec", text_col="s", by="grp", k=3, min_similarity=0.6, lists=64, block_rows=block).collect()
     assert {(r["id"], r["neighbour"], round(r["similarity"], 9)) for r in got} == best_of(rows, 3, 0.6)
@@ -149,7 +150,7 @@ def components_of(rows, t):
     return {(i, f) for f, members in groups.items() if len(members) > 1 for i in members}
 
 
-@pytest.mark.parametrize("block", [24_000, 20])
+@pytest.mark.parametrize("block", [16_000, 20])
 def test_groups(table, rows, block):
     got = clusters.similarity_groups(table, id_col="rec", text_col="s", by="grp", threshold=0.7, block_rows=block)
     assert {(r["id"], r["first_id"]) for r in got.collect()} == components_of(rows, 0.7)
