@@ -192,3 +192,14 @@ def test_core_does_not_name_the_subpackage():
         for n in names:
             if n.endswith(".py"):
                 assert not re.search(r"\bllm\b", open(os.path.join(folder, n)).read())
+
+
+def test_intermediate_tables_are_released(spark):
+    from tanisum import session
+
+    got = session.materialize(spark.range(5).toDF("x"), "t")
+    assert got.count() == 5
+    folder = got.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    session.release(spark)
+    assert not os.path.isdir(folder) and not session._written
