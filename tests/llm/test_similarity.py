@@ -228,6 +228,21 @@ def test_copies(spark, rows, bits, hot, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == plain_pairs(mine)
 
 
+@pytest.mark.parametrize("bits", [64, 2])
+def test_large_groups_are_cut(spark, rows, monkeypatch, bits):
+    monkeypatch.setattr(copies, "HOT_LEAST", 7)
+    mine = [(r[0], r[2], r[3]) for r in rows] + [(1000 + i, "CCO" * 5 + " " * (i % 4), "NCC" * 4) for i in range(120)] + [(5, "CCO" * 5, "ncc" * 4)]
+    df = spark.createDataFrame(mine, "rec bigint, s string, n string")
+    got = [(r["first_id"], r["copy_id"]) for r in copies.copies(df, id_col="rec", first_col="s", second_col="n", bits=bits).collect()]
+    first = {}
+    for i, a, b in sorted(mine[:-1] + [(5, "CCO" * 5, "ncc" * 4)], key=lambda r: r[0]):
+        x, y = pieces.plain([a, b])
+        if min(len(x), len(y)) >= 4:
+            first.setdefault((min(x, y), max(x, y)), []).append(i)
+    want = {(min(v), i) for v in first.values() for i in v if i != min(v)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_collapse_counts_all_records(spark):
     rows = [(1, 0, "CCCC N", "CCCCO", "", 0.0, 0), (2, 0, "cccco", "ccccn", "", 0.0, 0), (3, 0, "x", "y", "", 0.0, 0)]
     df = spark.createDataFrame(rows, COLUMNS)
@@ -238,6 +253,9 @@ def test_collapse_counts_all_records(spark):
 def test_hash_ignores_what_does_not_count():
     h, n = copies.rolling_hashes(["C C;c", "ccc", "cc c​", "cd", None])
     assert h[0] == h[1] == h[2] and h[3] != h[1] and n.tolist() == [3, 3, 3, 2, 0]
+    long = "é x−y" * 300
+    h, n = copies.rolling_hashes([long, long.upper().replace(" ", "") + "\u200b", long + "z", "\U00010400" * 50, "\U00010428" * 50])
+    assert h[0] == h[1] != h[2] and h[3] == h[4] and n.tolist() == [1200, 1200, 1201, 50, 50]
     assert copies.same_text(["A b", "ab", None], ["ab", "ba", ""]).tolist() == [True, False, True]
 
 
