@@ -1,9 +1,10 @@
-"""A varied subset: cluster-feature summaries, Ward linkage over their entries, one record a group.
+"""A varied subset: a cluster-feature tree a task, Ward linkage over the entries, one record a group.
 
-Each task absorbs its rows into entries (number, vector sum, squared sum) of
-bounded radius. Entries of all tasks meet in coarse
-cells of bounded size, where Ward linkage merges them; the cheapest merges over
-all cells are taken until the wanted number of groups is left. An entry weighs
+Each task absorbs its rows into the leaf entries of a cluster-feature tree.
+Trees of all tasks are merged into one of bounded size, whose entries lead
+entries to cells; cells that are still too large are divided again the same
+way. Ward linkage merges the entries of a cell; the cheapest merges over all
+cells are taken until the wanted number of groups is left. An entry weighs
 log2(1 + its records), so large groups and often repeated records get no more
 than their due.
 """
@@ -15,83 +16,141 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .pieces import pieces
-from .quantize import DIM, nearest, project, train
+from .cftree import Tree
+from .pieces import distinct_sets, mix64, pieces
+from .quantize import DIM, nearest, project
 
 #: Entries a summary keeps: at least LEAST, and FACTOR for each record wanted of those it has seen.
 LEAST, FACTOR = 1024, 5
-#: Rows after which a task begins another summary.
-ROWS = 50_000
+#: Rows after which a task begins another summary, which bounds its memory.
+ROWS = 200_000
 #: Most entries that Ward linkage takes at once.
 CELL = 3000
+#: Entries of one block of a cell when the cell is divided, and parts it is divided into: the whole table, other cells.
+BLOCK, PARTS, FEWER = 20_000, 1024, 64
+#: Divided cells whose centres are broadcast (12 MB); more are joined by shuffle.
+SMALL = 500
 
 
 class Summary:
-    """Leaf entries of a cluster-feature tree: rows join the nearest entry while its radius stays within a limit.
-
-    When there are too many entries, those that are each other's best partner
-    merge and the limit grows to their radius.
-    """
+    """The tree of a task's rows and the entry of each row seen."""
 
     def __init__(self, share: float):
-        self.share, self.limit, self.seen = share, 0.0, 0
-        self.n = np.zeros(0)
-        self.total = np.zeros((0, DIM), np.float32)
-        self.square = np.zeros(0)
-        self.place = np.zeros(0, np.int64)  # the entry of each row seen
-
-    def add(self, x: np.ndarray) -> None:
-        self.seen += len(x)
-        sq = (x**2).sum(1).astype(np.float64)
-        entry = np.full(len(x), -1, np.int64)
-        if len(self.n):
-            at, _ = nearest(x, self.total / self.n[:, None].astype(np.float32))
-            n = self.n[at] + 1
-            radius = (self.square[at] + sq) / n - ((self.total[at] + x) ** 2).sum(1) / n**2
-            entry = np.where(radius <= self.limit, at, -1)
-        new = entry < 0
-        entry[new] = len(self.n) + np.arange(new.sum())
-        m = int(new.sum())
-        self.n = np.concatenate([self.n, np.zeros(m)])
-        self.total = np.concatenate([self.total, np.zeros((m, DIM), np.float32)])
-        self.square = np.concatenate([self.square, np.zeros(m)])
-        np.add.at(self.n, entry, 1)
-        np.add.at(self.total, entry, x)
-        np.add.at(self.square, entry, sq)
-        self.place = np.concatenate([self.place, entry])
+        self.share, self.seen, self.tree = share, 0, Tree(DIM)
+        self.place = np.zeros(0, np.int64)
+
+    def add(self, x: np.ndarray, n: np.ndarray | None = None, of: np.ndarray | None = None) -> None:
+        """Vectors, how many rows have each, and the vector of each row."""
+        n = np.ones(len(x)) if n is None else n.astype(np.float64)
+        self.seen += int(n.sum())
+        at = self.tree.insert(x * n[:, None].astype(np.float32), n, n * (x.astype(np.float64) ** 2).sum(1))
+        self.place = np.concatenate([self.place, at if of is None else at[of]])
         most = max(LEAST, int(FACTOR * self.share * self.seen))
-        if len(self.n) > 2 * most:
-            while len(self.n) > most:
-                self._merge(len(self.n) - most)
-
-    def _merge(self, wanted: int) -> None:
-        """At most ``wanted`` merges of entries that are each other's best partner."""
-        n, t = self.n.astype(np.float32), self.total
-        own = (t**2).sum(1)
-        best, cost = np.empty(len(n), np.int64), np.empty(len(n), np.float32)
-        for lo in range(0, len(n), 1024):
-            hi = min(len(n), lo + 1024)
-            both = n[lo:hi, None] + n[None]
-            r = (self.square[lo:hi, None].astype(np.float32) + self.square[None].astype(np.float32)) / both
-            r -= (own[lo:hi, None] + own[None] + 2 * (t[lo:hi] @ t.T)) / both**2
-            r[np.arange(hi - lo), np.arange(lo, hi)] = np.inf
-            best[lo:hi] = r.argmin(1)
-            cost[lo:hi] = r[np.arange(hi - lo), best[lo:hi]]
-        a = np.flatnonzero((best[best] == np.arange(len(n))) & (np.arange(len(n)) < best))
-        a = a[np.argsort(cost[a], kind="stable")][:wanted]
-        self.limit = max(self.limit, float(cost[a[-1]]))
-        root = np.arange(len(n))
-        root[best[a]] = a
-        kept, inv = np.unique(root, return_inverse=True)
-        b = best[a]
-        for values in (self.n, self.total, self.square):
-            values[a] += values[b]
-        self.n, self.total, self.square = self.n[kept], self.total[kept], self.square[kept]
-        self.place = inv[self.place]
+        if self.tree.count > 2 * most:
+            self.place = self.tree.condense(most)[self.place]
+
+
+def _sums(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, DIM)
+
+
+def _packed(total: np.ndarray) -> pa.Array:
+    return pa.array([v.tobytes() for v in total.astype(np.float64)], pa.binary())
+
+
+def _merged(t: pa.Table, parts: int) -> pa.Table:
+    """Summaries merged into a tree, and as many of its nodes as ``parts`` allows."""
+    n, total = t["n"].to_numpy().astype(np.float64), _sums(t["total"])
+    tree = Tree(DIM)
+    mean = (total / n[:, None]).astype(np.float64)
+    # a summary of unknown spread counts as if all of it were at its centre
+    tree.insert(total.astype(np.float32), n, n * (mean**2).sum(1))
+    tree.condense(parts)
+    return pa.table({"n": pa.array(tree.n), "total": _packed(tree.total)})
+
+
+def _nearest_part(cell: np.ndarray, x: np.ndarray, centers: dict[int, np.ndarray], turn: int) -> np.ndarray:
+    """The part of its cell that each vector is in; cells without centres stay."""
+    out = cell.copy()
+    for c in np.unique(cell):
+        if int(c) in centers:
+            rows = np.flatnonzero(cell == c)
+            at, _ = nearest(x[rows].astype(np.float32), centers[int(c)])
+            key = mix64(np.array([c], np.int64).view(np.uint64), 50 + turn) + at.astype(np.uint64)
+            out[rows] = (mix64(key, 51) >> np.uint64(1)).view(np.int64)
+    return out
+
+
+def _divided(entries: DataFrame) -> DataFrame:
+    """Entries (entry, n, total) with a ``cell`` of at most CELL entries, neighbours in the same one.
+
+    Blocks of a large cell are summarised by trees, whose nodes merge into one
+    tree; its entries are the parts' centres. Cells whose entries no centres
+    tell apart are cut by a hash.
+    """
+    spark = entries.sparkSession
+    entries = entries.withColumn("cell", F.lit(0).cast("long"))
+    kind = "entry long, n long, total binary, cell long"
+    last, turn = None, 0
+    while True:
+        sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL)
+        sizes = materialize(sizes, "cells")
+        left = sizes.agg(F.count(F.lit(1)).alias("cells"), F.sum("size").alias("entries"), (F.sum(F.col("size") * F.col("size")) / F.sum("size")).alias("usual")).first()
+        if not left["cells"]:
+            return entries
+        # two numbers a cell
+        sizes = F.broadcast(sizes) if left["cells"] <= 100_000 else sizes
+        if last is not None and left["usual"] > 0.9 * last:
+            part = F.xxhash64("cell", F.pmod(F.xxhash64("entry"), F.ceil(F.col("size") / CELL * 1.2)))
+            part = F.when(F.col("size").isNull(), F.col("cell")).otherwise(part)
+            entries = materialize(entries.join(sizes, "cell", "left").select("entry", "n", "total", part.alias("cell")), "celled")
+            last, turn = None, turn + 1
+            continue
+        last, parts = left["usual"], PARTS if turn == 0 else FEWER
+        large = entries.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("entry"), F.ceil(F.col("size") / BLOCK)))
+        width = max(1, min(4096, 2 * left["entries"] // BLOCK + left["cells"]))
+
+        def merged(key: tuple, t: pa.Table) -> pa.Table:
+            size = t["size"][0].as_py()
+            got = _merged(t, max(2, min(parts, -(-size // (CELL // 3)))))
+            return got.append_column("cell", pa.array([key[0].as_py()] * len(got), pa.int64())).append_column("size", pa.array([size] * len(got), pa.int64()))
+
+        schema = "n double, total binary, cell long, size long"
+        tops = materialize(large.repartition(width, "cell", "block").groupBy("cell", "block").applyInArrow(merged, schema), "tops")
+        # summaries of a cell's blocks are merged BLOCK at a time until one tree can take them all
+        while (most := tops.groupBy("cell").count().agg(F.max("count")).first()[0] or 0) > BLOCK:
+            salted = tops.withColumn("block", F.pmod(F.xxhash64("total"), F.lit(-(-most // BLOCK))))
+            tops = materialize(salted.groupBy("cell", "block").applyInArrow(merged, schema), "tops")
+        centers = materialize(tops.repartition(min(width, left["cells"]), "cell").groupBy("cell").applyInArrow(merged, schema), "centers")
+        if left["cells"] <= SMALL:
+            held: dict[int, list] = {}
+            for r in centers.toLocalIterator():
+                held.setdefault(r["cell"], []).append(np.frombuffer(r["total"]) / r["n"])
+            known = spark.sparkContext.broadcast({c: np.array(v, np.float32) for c, v in held.items()})
+
+            def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    x = _sums(b.column("total")) / b.column("n").to_numpy()[:, None]
+                    at = _nearest_part(b.column("cell").to_numpy(), x, known.value, turn)
+                    yield pa.RecordBatch.from_arrays([b.column("entry"), b.column("n"), b.column("total"), pa.array(at)], names=["entry", "n", "total", "cell"])
+
+            entries = materialize(entries.select("entry", "n", "total", "cell").mapInArrow(placed, kind), "celled")
+        else:
+            small = entries.join(sizes.select("cell"), "cell", "left_anti").select("entry", "n", "total", "cell")
+            spread = centers.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1)))
+
+            def parted(key: tuple, rows: pa.Table, ways: pa.Table) -> pa.Table:
+                c = {key[0].as_py(): (_sums(ways["total"]) / ways["n"].to_numpy()[:, None]).astype(np.float32)}
+                at = _nearest_part(rows["cell"].to_numpy(), _sums(rows["total"]) / rows["n"].to_numpy()[:, None], c, turn)
+                return pa.table({"entry": rows["entry"], "n": rows["n"], "total": rows["total"], "cell": pa.array(at)})
+
+            divided = large.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInArrow(parted, kind)
+            entries = materialize(small.unionByName(divided), "celled")
+        turn += 1
 
 
 def ward(centers: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int]]:
@@ -137,35 +196,43 @@ def ward(centers: np.ndarray, weight: np.ndarray) -> list[tuple[float, int, int]
     return sorted(out, key=lambda t: t[0])
 
 
-def _cut(heights: DataFrame, merges: int) -> dict[int, int]:
-    """How many of each cell's merges are among the cheapest ``merges`` of all, ties by cell."""
-    low, high = heights.agg(F.min("height"), F.max("height")).first()
+def _edge(rows: DataFrame, value: str, wanted: int, rounds: int) -> tuple[float, float, int]:
+    """Ends of a narrow range that holds the ``wanted``-th least value, and how many values are below it."""
+    low, high = rows.agg(F.min(value), F.max(value)).first()
     bins, below = 4096, 0
-    if low is None or merges <= 0:
-        return {}
-    for _ in range(4):
+    if low is None:
+        return 0.0, 0.0, 0
+    for _ in range(rounds):
         if high <= low:
             break
         width = (high - low) / bins
-        inside = heights.where((F.col("height") >= low) & (F.col("height") <= high))
-        at = F.least(F.floor((F.col("height") - low) / width), F.lit(bins - 1)).cast("int")
-        got = {r["b"]: r["n"] for r in inside.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        run = below
+        inside = rows.where((F.col(value) >= low) & (F.col(value) <= high))
+        at = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
+        run, got = below, {r["b"]: r["n"] for r in inside.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
         for b in sorted(got):
-            if run + got[b] >= merges:
+            if run + got[b] >= wanted:
                 low, high, below = low + b * width, low + (b + 1) * width, run
                 break
             run += got[b]
         else:
             break
-    cells = heights.groupBy("cell").agg(F.count(F.when(F.col("height") < low, 1)).alias("sure"), F.count(F.when((F.col("height") >= low) & (F.col("height") <= high), 1)).alias("edge")).collect()
-    left = merges - sum(r["sure"] for r in cells)
-    out = {}
-    for r in sorted(cells, key=lambda r: r["cell"]):
-        more = max(0, min(left, r["edge"]))
-        left -= more
-        out[r["cell"]] = r["sure"] + more
-    return out
+        if got[b] == 1:
+            break
+    return low, high, rows.where(F.col(value) < low).count()
+
+
+def _cut(trees: DataFrame, merges: int) -> Column:
+    """Which merges are among the cheapest ``merges`` of all, ties by a hash."""
+    if merges <= 0:
+        return F.lit(False)
+    low, high, below = _edge(trees, "height", merges, 4)
+    sure, edge = F.col("height") < low, (F.col("height") >= low) & (F.col("height") <= high)
+    ties = trees.where(edge)
+    if ties.count() <= merges - below:
+        return sure | edge
+    place = F.pmod(F.xxhash64("cell", "step"), F.lit(1 << 52)).cast("double")
+    first, last, under = _edge(ties.select(place.alias("place")), "place", merges - below, 5)
+    return sure | (edge & ((place < first) if under >= merges - below else (place <= last)))
 
 
 def varied_subset(df: DataFrame, *, id_col: str, text_col: str, share: float = 0.01) -> DataFrame:
@@ -192,25 +259,29 @@ def varied_subset(df: DataFrame, *, id_col: str, text_col: str, share: float = 0
             for lo in range(0, len(entry), 10_000):
                 k = len(entry[lo : lo + 10_000])
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(entry[lo : lo + k]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(all_ids[lo : lo + k]), pa.array(all_texts[lo : lo + k], pa.string())], schema=schema)
-            for lo in range(0, len(summary.n), 2000):
-                n = summary.n[lo : lo + 2000].astype(np.int64)
+            tree = summary.tree
+            for lo in range(0, tree.count, 2000):
+                n = tree.n[lo : lo + 2000].astype(np.int64)
                 k = len(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(base + lo + np.arange(k)), pa.array(n), pa.array([v.tobytes() for v in summary.total[lo : lo + k].astype(np.float64)], pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(base + lo + np.arange(k)), pa.array(n), _packed(tree.total[lo : lo + k]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string())], schema=schema)
 
         for b in batches:
             text = b.column("text").to_pylist()
             id_ = b.column("id").to_numpy()
-            for lo in range(0, len(text), 2048):
-                sets = pieces(text[lo : lo + 2048])
+            for lo in range(0, len(text), 4096):
+                sets = pieces(text[lo : lo + 4096])
                 some = np.flatnonzero(sets.sizes > 0)
                 if not len(some):
                     continue
-                summary.add(project(sets.take(some)) / np.sqrt(sets.sizes[some])[:, None].astype(np.float32))
+                sets = sets.take(some)
+                rep, of = distinct_sets(sets)
+                one = sets.take(rep)
+                summary.add(project(one) / np.sqrt(one.sizes)[:, None].astype(np.float32), np.bincount(of), of)
                 ids.append(id_[lo + some])
                 texts.append([text[lo + i] for i in some])
                 if summary.seen >= ROWS:
                     yield from flush()
-                    base += len(summary.n)
+                    base += summary.tree.count
                     summary, ids, texts = Summary(share), [], []
         if ids:
             yield from flush()
@@ -222,43 +293,24 @@ def varied_subset(df: DataFrame, *, id_col: str, text_col: str, share: float = 0
     if not got["entries"]:
         return empty
     k = max(1, round(share * got["records"]))
-
-    # coarse cells from a bounded sample of entries
-    rate = int(min(1.0, 8000 / got["entries"]) * 1_000_000)
-    picked = entries.where(F.pmod(F.xxhash64("entry"), F.lit(1_000_000)) <= rate).limit(10_000).toLocalIterator()
-    sample = np.stack([np.frombuffer(r["total"]) / r["n"] for r in picked] or [np.zeros(DIM)]).astype(np.float32)
-    coarse = train(sample, 1, max(1, min(1024, got["entries"] // (CELL // 3), len(sample) // 4)), 5).words[0]
-    centers = df.sparkSession.sparkContext.broadcast(coarse)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.column("n").to_numpy()
-            x = np.frombuffer(b"".join(b.column("total").to_pylist())).reshape(len(n), DIM) / n[:, None]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest(x.astype(np.float32), centers.value)[0])], names=["entry", "n", "total", "coarse"])
-
-    entries = entries.mapInArrow(placed, "entry long, n long, total binary, coarse long")
-    sizes = {r["coarse"]: r["n"] for r in entries.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, -(-n // CELL))])[F.col("coarse")]
-    entries = entries.withColumn("cell", F.col("coarse") * (1 << 24) + F.pmod(F.xxhash64("entry"), blocks))
+    entries = _divided(entries)
 
     def linked(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("entry")
         n = t["n"].to_numpy()
-        total = np.frombuffer(b"".join(t["total"].to_pylist())).reshape(len(n), DIM)
-        merges = ward(total / n[:, None], np.log2(1 + n))
+        merges = ward(_sums(t["total"]) / n[:, None], np.log2(1 + n))
         m = len(merges)
         return pa.table({"cell": pa.array([key[0].as_py()] * m, pa.int64()), "height": pa.array([x[0] for x in merges], pa.float64()), "step": pa.array(range(m), pa.int64()), "a": pa.array(t["entry"].to_numpy()[[x[1] for x in merges]] if m else [], pa.int64()), "b": pa.array(t["entry"].to_numpy()[[x[2] for x in merges]] if m else [], pa.int64())})
 
-    width = max(1, min(len(sizes) * 2, 4096))
-    parts = entries.repartition(width, "cell")
-    trees = materialize(parts.groupBy("cell").applyInArrow(linked, "cell long, height double, step long, a long, b long"), "ward")
-    wanted = df.sparkSession.sparkContext.broadcast(_cut(trees, max(0, got["entries"] - k)))
+    entries = entries.repartition(max(1, min(4096, 3 * got["entries"] // CELL)), "cell")
+    trees = materialize(entries.groupBy("cell").applyInArrow(linked, "cell long, height double, step long, a long, b long"), "ward")
+    taken = trees.where(_cut(trees, got["entries"] - k))
 
     def grouped(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.sort_by("entry")
         entry, n = left["entry"].to_numpy(), left["n"].to_numpy()
-        total = np.frombuffer(b"".join(left["total"].to_pylist())).reshape(len(n), DIM)
-        right = right.sort_by("step").slice(0, wanted.value.get(key[0].as_py(), 0))
+        total = _sums(left["total"])
+        right = right.sort_by("step")
         root = np.arange(len(entry))
         a, b = np.searchsorted(entry, right["a"].to_numpy()), np.searchsorted(entry, right["b"].to_numpy())
 
@@ -279,13 +331,14 @@ def varied_subset(df: DataFrame, *, id_col: str, text_col: str, share: float = 0
         mean = (mean[root] / size[root, None]).astype(np.float32)
         return pa.table({"entry": entry, "grp": entry[root], "n_group": size[root].astype(np.int64), "mean": pa.array([v.tobytes() for v in mean], pa.binary())})
 
-    groups = parts.select("cell", "entry", "n", "total").groupBy("cell").cogroup(trees.groupBy("cell")).applyInArrow(grouped, "entry long, grp long, n_group long, mean binary")
+    groups = entries.groupBy("cell").cogroup(taken.groupBy("cell")).applyInArrow(grouped, "entry long, grp long, n_group long, mean binary")
     members = made.where("kind = 1").select("entry", "id", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = pieces(b.column("text").to_pylist())
-            x = project(sets) / np.sqrt(np.maximum(sets.sizes, 1))[:, None].astype(np.float32)
+            rep, of = distinct_sets(sets)
+            x = (project(sets.take(rep)) / np.sqrt(np.maximum(sets.sizes[rep], 1))[:, None].astype(np.float32))[of]
             mean = np.frombuffer(b"".join(b.column("mean").to_pylist()), np.float32).reshape(len(x), DIM)
             apart = ((x - mean) ** 2).sum(1).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("n_group"), b.column("id"), pa.array(np.round(apart, 6))], names=["grp", "n_group", "id", "apart"])

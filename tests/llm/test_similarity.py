@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tanisum.llm import clusters, copies, pieces, simjoin, subset
 from tanisum.llm.annsearch import nearest_records
+from tanisum.llm.cftree import LEAF, Tree
 from tanisum.llm.components import components
 from tanisum.llm.quantize import encode, project, train
 
@@ -199,8 +200,46 @@ def test_summary_keeps_all_rows():
     s = subset.Summary(0.01)
     for _ in range(3):
         s.add(rng.normal(size=(1500, 96)).astype(np.float32))
-    assert len(s.n) <= 2 * subset.LEAST and s.n.sum() == 4500 and len(s.place) == 4500
-    assert np.array_equal(np.bincount(s.place, minlength=len(s.n)), s.n)
+    n = s.tree.n
+    assert len(n) <= 2 * subset.LEAST and n.sum() == 4500 and len(s.place) == 4500
+    assert np.array_equal(np.bincount(s.place, minlength=len(n)), n)
+
+
+def test_trees_hold_what_went_in():
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(40, 8)).repeat(60, 0) + rng.normal(size=(2400, 8)) * 0.01).astype(np.float32)
+    one, two = Tree(8), Tree(8)
+    for t, part in ((one, x[::2]), (two, x[1::2])):
+        t.insert(part, np.ones(len(part)), (part.astype(float) ** 2).sum(1))
+        t.condense(120)
+        assert max(map(len, t.leaves())) <= LEAF and sum(map(len, t.leaves())) == t.count <= 120
+    # a tree takes in another one
+    one.insert(two.total.copy(), two.n.copy(), two.square.copy())
+    one.condense(40)
+    assert one.n.sum() == 2400 and one.n.min() == one.n.max() == 60
+    assert np.allclose(one.total.sum(0), x.sum(0), atol=0.1) and np.isclose(one.square.sum(), (x.astype(float) ** 2).sum())
+
+
+@pytest.mark.parametrize("small", [500, 0])
+def test_cells_are_divided(spark, monkeypatch, small):
+    for name, v in (("CELL", 60), ("BLOCK", 100), ("SMALL", small), ("PARTS", 8), ("FEWER", 4)):
+        monkeypatch.setattr(subset, name, v)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(700, 96)), np.ones((300, 96))])
+    df = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(x)], "entry long, n long, total binary")
+    got = subset._divided(df).select("entry", "cell").toPandas()
+    assert sorted(got["entry"]) == list(range(1000))
+    # what is alike and fits stays together; what can't be told apart is cut by a hash
+    assert got.groupby("cell").size().max() <= 90
+
+
+def test_cut_takes_exactly_the_cheapest(spark):
+    rng = random.Random(5)
+    rows = [(c, float(rng.choice([0.0, 0.0, 0.5, rng.random()])), s) for c in range(30) for s in range(40)]
+    df = spark.createDataFrame(rows, "cell long, height double, step long")
+    for k in (0, 1, 300, 700, 1200):
+        got = [r["height"] for r in df.where(subset._cut(df, k)).collect()]
+        assert len(got) == k and (not k or max(got) <= sorted(h for _, h, _ in rows)[k - 1])
 
 
 def plain_pairs(rows):
