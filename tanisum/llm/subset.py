@@ -32,6 +32,8 @@ ROWS = 200_000
 CELL = 3000
 #: Entries of one block of a cell when the cell is divided, and parts it is divided into: the whole table, other cells.
 BLOCK, PARTS, FEWER = 20_000, 1024, 64
+#: Groups that are left, for each one wanted, before groups of all cells meet again.
+SPARE = 2
 #: Divided cells whose centres are broadcast (12 MB); more are joined by shuffle.
 SMALL = 500
 
@@ -86,7 +88,7 @@ def _nearest_part(cell: np.ndarray, x: np.ndarray, centers: dict[int, np.ndarray
 
 
 def _divided(entries: DataFrame) -> DataFrame:
-    """Entries (entry, n, total) with a ``cell`` of at most CELL entries, neighbours in the same one.
+    """Entries (entry, n, w, total) with a ``cell`` of at most CELL entries, neighbours in the same one.
 
     Blocks of a large cell are summarised by trees, whose nodes merge into one
     tree; its entries are the parts' centres. Cells whose entries no centres
@@ -94,7 +96,7 @@ def _divided(entries: DataFrame) -> DataFrame:
     """
     spark = entries.sparkSession
     entries = entries.withColumn("cell", F.lit(0).cast("long"))
-    kind = "entry long, n long, total binary, cell long"
+    kind = "entry long, n long, w double, total binary, cell long"
     last, turn = None, 0
     while True:
         sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CELL)
@@ -107,7 +109,7 @@ def _divided(entries: DataFrame) -> DataFrame:
         if last is not None and left["usual"] > 0.9 * last:
             part = F.xxhash64("cell", F.pmod(F.xxhash64("entry"), F.ceil(F.col("size") / CELL * 1.2)))
             part = F.when(F.col("size").isNull(), F.col("cell")).otherwise(part)
-            entries = materialize(entries.join(sizes, "cell", "left").select("entry", "n", "total", part.alias("cell")), "celled")
+            entries = materialize(entries.join(sizes, "cell", "left").select("entry", "n", "w", "total", part.alias("cell")), "celled")
             last, turn = None, turn + 1
             continue
         last, parts = left["usual"], PARTS if turn == 0 else FEWER
@@ -136,17 +138,17 @@ def _divided(entries: DataFrame) -> DataFrame:
                 for b in batches:
                     x = _sums(b.column("total")) / b.column("n").to_numpy()[:, None]
                     at = _nearest_part(b.column("cell").to_numpy(), x, known.value, turn)
-                    yield pa.RecordBatch.from_arrays([b.column("entry"), b.column("n"), b.column("total"), pa.array(at)], names=["entry", "n", "total", "cell"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("entry", "n", "w", "total")), pa.array(at)], names=["entry", "n", "w", "total", "cell"])
 
-            entries = materialize(entries.select("entry", "n", "total", "cell").mapInArrow(placed, kind), "celled")
+            entries = materialize(entries.select("entry", "n", "w", "total", "cell").mapInArrow(placed, kind), "celled")
         else:
-            small = entries.join(sizes.select("cell"), "cell", "left_anti").select("entry", "n", "total", "cell")
+            small = entries.join(sizes.select("cell"), "cell", "left_anti").select("entry", "n", "w", "total", "cell")
             spread = centers.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK) - 1)))
 
             def parted(key: tuple, rows: pa.Table, ways: pa.Table) -> pa.Table:
                 c = {key[0].as_py(): (_sums(ways["total"]) / ways["n"].to_numpy()[:, None]).astype(np.float32)}
                 at = _nearest_part(rows["cell"].to_numpy(), _sums(rows["total"]) / rows["n"].to_numpy()[:, None], c, turn)
-                return pa.table({"entry": rows["entry"], "n": rows["n"], "total": rows["total"], "cell": pa.array(at)})
+                return pa.table({c: rows[c] for c in ("entry", "n", "w", "total")} | {"cell": pa.array(at)})
 
             divided = large.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInArrow(parted, kind)
             entries = materialize(small.unionByName(divided), "celled")
@@ -235,6 +237,45 @@ def _cut(trees: DataFrame, merges: int) -> Column:
     return sure | (edge & ((place < first) if under >= merges - below else (place <= last)))
 
 
+def _agglomerated(entries: DataFrame, number: int, k: int) -> DataFrame:
+    """Entries (entry, n, w, total) with the group (grp) that the cheapest merges put them in, k groups in all, and the group's n, w and total."""
+    entries = _divided(entries).repartition(max(1, min(4096, 3 * number // CELL)), "cell")
+
+    def linked(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("entry")
+        merges = ward(_sums(t["total"]) / t["n"].to_numpy()[:, None], t["w"].to_numpy())
+        m = len(merges)
+        return pa.table({"cell": pa.array([key[0].as_py()] * m, pa.int64()), "height": pa.array([x[0] for x in merges], pa.float64()), "step": pa.array(range(m), pa.int64()), "a": pa.array(t["entry"].to_numpy()[[x[1] for x in merges]] if m else [], pa.int64()), "b": pa.array(t["entry"].to_numpy()[[x[2] for x in merges]] if m else [], pa.int64())})
+
+    trees = materialize(entries.groupBy("cell").applyInArrow(linked, "cell long, height double, step long, a long, b long"), "ward")
+    taken = trees.where(_cut(trees, number - k))
+
+    def grouped(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("entry")
+        entry = left["entry"].to_numpy()
+        right = right.sort_by("step")
+        root = np.arange(len(entry))
+        a, b = np.searchsorted(entry, right["a"].to_numpy()), np.searchsorted(entry, right["b"].to_numpy())
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            i, j = find(i), find(j)
+            root[max(i, j)] = min(i, j)
+        while (root[root] != root).any():
+            root = root[root]
+        n, w, total = np.zeros(len(entry), np.int64), np.zeros(len(entry)), np.zeros((len(entry), DIM))
+        for out, values in ((n, left["n"].to_numpy()), (w, left["w"].to_numpy()), (total, _sums(left["total"]))):
+            np.add.at(out, root, values)
+        return pa.table({"entry": entry, "grp": entry[root], "n": n[root], "w": w[root], "total": _packed(total[root])})
+
+    return entries.groupBy("cell").cogroup(taken.groupBy("cell")).applyInArrow(grouped, "entry long, grp long, n long, w double, total binary")
+
+
 def varied_subset(df: DataFrame, *, id_col: str, text_col: str, share: float = 0.01) -> DataFrame:
     """``id`` of the chosen records and ``n_group``, the records each stands for.
 
@@ -293,45 +334,17 @@ def varied_subset(df: DataFrame, *, id_col: str, text_col: str, share: float = 0
     if not got["entries"]:
         return empty
     k = max(1, round(share * got["records"]))
-    entries = _divided(entries)
-
-    def linked(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("entry")
-        n = t["n"].to_numpy()
-        merges = ward(_sums(t["total"]) / n[:, None], np.log2(1 + n))
-        m = len(merges)
-        return pa.table({"cell": pa.array([key[0].as_py()] * m, pa.int64()), "height": pa.array([x[0] for x in merges], pa.float64()), "step": pa.array(range(m), pa.int64()), "a": pa.array(t["entry"].to_numpy()[[x[1] for x in merges]] if m else [], pa.int64()), "b": pa.array(t["entry"].to_numpy()[[x[2] for x in merges]] if m else [], pa.int64())})
-
-    entries = entries.repartition(max(1, min(4096, 3 * got["entries"] // CELL)), "cell")
-    trees = materialize(entries.groupBy("cell").applyInArrow(linked, "cell long, height double, step long, a long, b long"), "ward")
-    taken = trees.where(_cut(trees, got["entries"] - k))
-
-    def grouped(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("entry")
-        entry, n = left["entry"].to_numpy(), left["n"].to_numpy()
-        total = _sums(left["total"])
-        right = right.sort_by("step")
-        root = np.arange(len(entry))
-        a, b = np.searchsorted(entry, right["a"].to_numpy()), np.searchsorted(entry, right["b"].to_numpy())
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            i, j = find(i), find(j)
-            root[max(i, j)] = min(i, j)
-        while (root[root] != root).any():
-            root = root[root]
-        size, mean = np.zeros(len(entry)), np.zeros((len(entry), DIM))
-        np.add.at(size, root, n)
-        np.add.at(mean, root, total)
-        mean = (mean[root] / size[root, None]).astype(np.float32)
-        return pa.table({"entry": entry, "grp": entry[root], "n_group": size[root].astype(np.int64), "mean": pa.array([v.tobytes() for v in mean], pa.binary())})
-
-    groups = entries.groupBy("cell").cogroup(taken.groupBy("cell")).applyInArrow(grouped, "entry long, grp long, n_group long, mean binary")
+    entries = entries.withColumn("w", F.log2(1 + F.col("n")))
+    more = SPARE * k
+    if got["entries"] > 2 * more:
+        # groups of all cells meet once more in fewer cells, so that what lies on both sides of a border can merge
+        first = materialize(_agglomerated(entries, got["entries"], more), "groups")
+        groups = first.where("entry = grp").drop("grp")
+        last = _agglomerated(groups, more, k).withColumnRenamed("entry", "part")
+        groups = first.select("entry", F.col("grp").alias("part")).join(last, "part").drop("part")
+    else:
+        groups = _agglomerated(entries, got["entries"], k)
+    groups = groups.select("entry", "grp", F.col("n").alias("n_group"), "total")
     members = made.where("kind = 1").select("entry", "id", "text")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,10 +352,10 @@ def varied_subset(df: DataFrame, *, id_col: str, text_col: str, share: float = 0
             sets = pieces(b.column("text").to_pylist())
             rep, of = distinct_sets(sets)
             x = (project(sets.take(rep)) / np.sqrt(np.maximum(sets.sizes[rep], 1))[:, None].astype(np.float32))[of]
-            mean = np.frombuffer(b"".join(b.column("mean").to_pylist()), np.float32).reshape(len(x), DIM)
+            mean = (_sums(b.column("total")) / b.column("n_group").to_numpy()[:, None]).astype(np.float32)
             apart = ((x - mean) ** 2).sum(1).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("n_group"), b.column("id"), pa.array(np.round(apart, 6))], names=["grp", "n_group", "id", "apart"])
 
-    near = members.join(groups, "entry").select("grp", "n_group", "id", "text", "mean").mapInArrow(measured, "grp long, n_group long, id long, apart double")
+    near = members.join(groups, "entry").select("grp", "n_group", "id", "text", "total").mapInArrow(measured, "grp long, n_group long, id long, apart double")
     best = near.groupBy("grp").agg(F.min(F.struct("apart", "id")).alias("best"), F.max("n_group").alias("n_group"))
     return best.select(F.col("best.id").alias("id"), "n_group")

@@ -226,7 +226,7 @@ def test_cells_are_divided(spark, monkeypatch, small):
         monkeypatch.setattr(subset, name, v)
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(700, 96)), np.ones((300, 96))])
-    df = spark.createDataFrame([(i, 1, v.tobytes()) for i, v in enumerate(x)], "entry long, n long, total binary")
+    df = spark.createDataFrame([(i, 1, 1.0, v.tobytes()) for i, v in enumerate(x)], "entry long, n long, w double, total binary")
     got = subset._divided(df).select("entry", "cell").toPandas()
     assert sorted(got["entry"]) == list(range(1000))
     # what is alike and fits stays together; what can't be told apart is cut by a hash
