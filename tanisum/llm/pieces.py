@@ -142,15 +142,21 @@ def pieces(strings: list[str | None]) -> Sets:
     return _unique_pairs(rows[:m][same], token[same], n)
 
 
+def set_hashes(sets: Sets) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set, whatever its tokens' order."""
+    sums = []
+    for seed in (1, 2):
+        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets.tokens.astype(np.uint64), seed), dtype=np.uint64)])
+        sums.append(c[sets.off[1:]] - c[sets.off[:-1]])
+    return sums
+
+
 def distinct_sets(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     """Representative row of every distinct set, and the index of its representative for each row."""
     n = len(sets.off) - 1
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sums = []
-    for seed in (1, 2):
-        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(sets.tokens.astype(np.uint64), seed), dtype=np.uint64)])
-        sums.append(c[sets.off[1:]] - c[sets.off[:-1]])
+    sums = set_hashes(sets)
     key = np.rec.fromarrays([sums[0], sums[1], sets.sizes.astype(np.int64)])
     order = np.lexsort((np.arange(n), key.f2, key.f1, key.f0))
     k = key[order]
@@ -170,6 +176,20 @@ def dense_ids(sets: Sets) -> tuple[Sets, np.ndarray]:
     return _unique_pairs(sets.rows, rank[inv], len(sets.off) - 1), df[order]
 
 
+def ordered_ids(sets: Sets, frequency: np.ndarray) -> tuple[Sets, np.ndarray]:
+    """Tokens renumbered 0.. by (frequency of their hashed bucket, token); and the tokens. One order for all batches."""
+    vocab, inv = np.unique(sets.tokens, return_inverse=True)
+    order = np.lexsort((vocab, frequency[token_buckets(vocab, len(frequency))]))
+    rank = np.empty(len(vocab), np.int64)
+    rank[order] = np.arange(len(vocab))
+    return _unique_pairs(sets.rows, rank[inv], len(sets.off) - 1), vocab[order]
+
+
+def token_buckets(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Hashed bucket of each token, below n, a power of two."""
+    return (mix64(tokens.astype(np.uint64), 31) & np.uint64(n - 1)).astype(np.int64)
+
+
 class Bits:
     """Sets as bit rows; counts shared tokens of many pairs exactly.
 
@@ -207,6 +227,33 @@ class Bits:
                 out[s : s + step] += np.bitwise_count(both).sum(axis=1, dtype=np.int64)
         return out
 
+    def nth_shared(self, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+        """The k-th least token (from 1) that both rows of each pair have; -1 where they share fewer."""
+        out = np.full(len(a), -1, np.int64)
+        left = np.full(len(a), k, np.int64)
+        step = max(1, (1 << 18) // self.words)
+        for slab in range(self.slabs):
+            bits = self._slab(slab) if self.bits is None else self.bits
+            open_ = np.flatnonzero(out < 0)
+            for s in range(0, len(open_), step):
+                rows = open_[s : s + step]
+                both = bits[a[rows]] & bits[b[rows]]
+                run = np.cumsum(np.bitwise_count(both), axis=1, dtype=np.int64)
+                here = run[:, -1] >= left[rows]
+                left[rows[~here]] -= run[~here, -1]
+                if not here.any():
+                    continue
+                rows, both, run = rows[here], both[here], run[here]
+                at = (run >= left[rows, None]).argmax(1)
+                each = np.arange(len(rows))
+                word = both[each, at]
+                skip = left[rows] - (run[each, at] - np.bitwise_count(word))
+                for j in range(1, k):
+                    word = np.where(skip > j, word & (word - np.uint64(1)), word)
+                low = np.bitwise_count((word & (~word + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+                out[rows] = 64 * (self.words * slab + at) + low
+        return out
+
     def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         o = self.shared(a, b)
         return o / np.maximum(self.sizes[a] + self.sizes[b] - o, 1)

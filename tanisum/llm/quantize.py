@@ -11,7 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from .pieces import Sets, mix64
+from .pieces import Sets, mix64, token_buckets
 
 DIM = 96
 
@@ -29,7 +29,7 @@ def project(sets: Sets, dim: int = DIM, weights: np.ndarray | None = None) -> np
         signs[:, j : j + w] = 1 - 2 * ((h[:, None] >> np.arange(w, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
     signs *= np.float32(dim**-0.5)
     if weights is not None:
-        signs *= weights[buckets(vocab, len(weights))].astype(np.float32)[:, None]
+        signs *= weights[token_buckets(vocab, len(weights))].astype(np.float32)[:, None]
     n = len(sets.off) - 1
     out = np.zeros((n, dim), np.float32)
     if len(vocab) <= 4096:
@@ -55,11 +55,6 @@ def project(sets: Sets, dim: int = DIM, weights: np.ndarray | None = None) -> np
     return out
 
 
-def buckets(tokens: np.ndarray, n: int) -> np.ndarray:
-    """Hashed bucket of each token, below n, a power of two."""
-    return (mix64(tokens.astype(np.uint64), 31) & np.uint64(n - 1)).astype(np.int64)
-
-
 def nearest(x: np.ndarray, centers: np.ndarray, step: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Nearest centre of each row and the squared distance."""
     at = np.empty(len(x), np.int64)

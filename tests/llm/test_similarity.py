@@ -79,7 +79,7 @@ def test_join_with_short_lists_only(table, rows, monkeypatch):
     monkeypatch.setattr(simjoin, "EXPANDED", 50)
     strings = [r[2] for r in rows if r[1] == 1]
     ids = np.array([r[0] for r in rows if r[1] == 1])
-    a, b, _ = simjoin.join_block(strings, ids, np.zeros(len(ids)), 0.8, False)
+    a, b, _ = map(np.concatenate, zip(*simjoin.join_block(strings, ids, np.zeros(len(ids)), 0.8, False), strict=True))
     assert set(zip(a.tolist(), b.tolist())) == {k for k in pairs_of(rows, 0.8) if k[0] in set(ids.tolist())}
 
 
