@@ -24,7 +24,7 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "logp_data")
-    return nearest_records(rows, id_col="rec_id", text_col="SMILES", by="delivery_id", k=5, min_similarity=0.7, lists=56)
+    return nearest_records(rows, id_col="rec_id", text_col="SMILES", by="delivery_id", k=5, min_similarity=0.7)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

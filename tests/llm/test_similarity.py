@@ -110,7 +110,7 @@ def best_of(rows, k, least):
 
 @pytest.mark.parametrize("block", [16_000, 20])
 def test_nearest_records(table, rows, block):
-    got = nearest_records(table, id_col="rec", text_col="s", by="grp", k=3, min_similarity=0.6, lists=64, block_rows=block).collect()
+    got = nearest_records(table, id_col="rec", text_col="s", by="grp", k=3, min_similarity=0.6, lists=256, block_rows=block).collect()
     assert {(r["id"], r["neighbour"], round(r["similarity"], 9)) for r in got} == best_of(rows, 3, 0.6)
 
 
