@@ -37,3 +37,18 @@ def cells_by_key(rows: DataFrame, by: str, salt: str, block_rows: int) -> tuple[
     rows = rows.withColumn("partner", other)
     rows = rows.withColumns({"c1": F.least("block", "partner"), "c2": F.greatest("block", "partner")}).drop("partner", "blocks")
     return rows.repartition(width, by, "c1", "c2"), cut
+
+
+def join_hot(rows: DataFrame, right: DataFrame, keys: list[str], number: str, limit: int) -> DataFrame:
+    """Inner join with right, one row a key, whose column ``number`` tells the rows of its key: keys of more than limit rows are broadcast.
+
+    There are no more than rows / limit of them; beyond SMALL they are joined by shuffle like the others.
+    """
+    others = [c for c in right.columns if c not in keys]
+    hot = right.where(F.col(number) > limit).withColumn("is_hot", F.lit(True))
+    n = hot.limit(SMALL + 1).count()
+    if not n or n > SMALL:
+        return rows.join(right, keys)
+    seen = rows.join(F.broadcast(hot), keys, "left")
+    cold = seen.where("is_hot is null").select(*rows.columns).join(right.where(F.col(number) <= limit), keys)
+    return seen.where("is_hot").select(*rows.columns, *others).unionByName(cold.select(*rows.columns, *others))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tanisum.llm import clusters, copies, pieces, simjoin, subset
+from tanisum.llm import components as components_module
 from tanisum.llm.annsearch import nearest_records
 from tanisum.llm.cftree import LEAF, Tree
 from tanisum.llm.components import components
@@ -163,6 +164,34 @@ def test_groups(table, rows, block):
     assert all(set(r["typical"]) <= sizes[r["first_id"]] for r in told)
 
 
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_large_groups_are_described_in_parts(table, rows, monkeypatch, few):
+    monkeypatch.setattr(clusters, "MEMBERS", few)
+    got = clusters.similarity_groups(table, id_col="rec", text_col="s", by="grp", threshold=0.7, block_rows=20)
+    assert {(r["id"], r["first_id"]) for r in got.collect()} == components_of(rows, 0.7)
+    told = {r["first_id"]: (r["n"], r["typical"]) for r in clusters.described(table, got, id_col="rec", text_col="s").collect()}
+    groups, text = {}, {r[0]: r[2] for r in rows}
+    for i, f in sorted(components_of(rows, 0.7)):
+        groups.setdefault(f, []).append(i)
+    want = {}
+    for f, ids in groups.items():
+        x = project(pieces.pieces([text[i] for i in ids])).astype(np.float64)
+        apart = np.round(((x - x.mean(0)) ** 2).sum(1), 3)
+        want[f] = (len(ids), apart)
+        n, typical = told[f]
+        assert n == len(ids) and len(typical) == min(3, n)
+        assert np.allclose(sorted(apart[[ids.index(i) for i in typical]]), np.sort(apart)[: len(typical)], atol=0.02)
+    assert set(told) == set(want)
+
+
+@pytest.mark.parametrize("hub", [100_000, 2])
+def test_components_of_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(components_module, "HUB", hub)
+    edges = [(i, 50) for i in range(51, 90)] + [(7, i) for i in range(60, 70)] + [(200, 201), (201, 202)]
+    got = {(r["id"], r["root"]) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(i, 7) for i in range(50, 90)} | {(201, 200), (202, 200)}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7), (5, 4), (5, 4)]
     got = {(r["id"], r["root"]) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
