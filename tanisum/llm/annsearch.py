@@ -23,6 +23,8 @@ from .pieces import Bits, Sets, dense_ids, distinct_sets, pieces, set_hashes
 from .quantize import Codebooks, encode, project, train
 from .routing import SMALL, with_blocks
 
+#: Rows of a cell of a large key, on average.
+CELL_ROWS = 500
 #: Scores that are made at a time.
 SCORES = 2_000_000
 
@@ -288,5 +290,5 @@ def nearest_records(
         return found
     large = blocked.where("blocks > 1")
     most = large.groupBy("by").count().agg(F.max("count")).first()[0]
-    fine = fitted._replace(cells=deepened(sample, fitted.cells.levels[0], most))
+    fine = fitted._replace(cells=deepened(sample, fitted.cells.levels[0], most, CELL_ROWS))
     return found.unionByName(_large(large.select("by", "id", "text"), fine, k, min_similarity, lists, shortlist, block_rows))

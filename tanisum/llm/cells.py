@@ -10,8 +10,6 @@ from .quantize import nearest, train
 
 #: Words of a level below the first.
 WORDS = 256
-#: Rows of a cell, on average over a key.
-ROWS = 500
 
 
 class Cells(NamedTuple):
@@ -53,12 +51,12 @@ class Cells(NamedTuple):
         return out
 
 
-def deepened(sample: np.ndarray, first: np.ndarray, rows: int) -> Cells:
-    """Cells below the given centres, about one for ROWS of the given number of rows; fitted on a bounded sample."""
+def deepened(sample: np.ndarray, first: np.ndarray, rows: int, each: int) -> Cells:
+    """Cells below the given centres, about one for ``each`` of the given number of rows; fitted on a bounded sample."""
     levels, number = [first], len(first)
     rest = sample - first[nearest(sample, first)[0]] if len(sample) else sample
-    while number * ROWS < rows and len(levels) < 4 and len(sample):
-        words = min(WORDS, max(2, -(-rows // (number * ROWS))))
+    while number * each < rows and len(levels) < 4 and len(sample):
+        words = min(WORDS, max(2, -(-rows // (number * each))))
         level = train(rest, 1, words, 6).words[0]
         rest = rest - level[nearest(rest, level)[0]]
         levels.append(level)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tanisum.llm import clusters, copies, pieces, simjoin, subset
 from tanisum.llm import components as components_module
 from tanisum.llm.annsearch import nearest_records
+from tanisum.llm.cells import deepened
 from tanisum.llm.cftree import LEAF, Tree
 from tanisum.llm.components import components
 from tanisum.llm.quantize import encode, project, train
@@ -342,3 +343,16 @@ def test_column_named_like_the_operators_own(spark, rows):
     df = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "text bigint, id bigint, by string").withColumn("block", F.lit("q")).withColumn("cells", F.lit(1))
     got = simjoin.similar_pairs(df, id_col="text", text_col="by", by="id")
     assert {(r["id_a"], r["id_b"]) for r in got.collect()} == set(pairs_of(rows, 0.8))
+
+
+def test_nearest_cells_level_by_level():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 12)).astype(np.float32)
+    cells = deepened(x, x[:8], 3000, 20)
+    assert len(cells.levels) == 2 and cells.number >= 150
+    whole = (cells.levels[0][:, None] + cells.levels[1][None]).reshape(-1, 12)
+    # all first-level cells are kept, so the search is exact
+    got = cells.nearest(x[:200], 40)
+    want = np.argsort(((x[:200, None] - whole) ** 2).sum(2), axis=1)[:, :40]
+    assert np.mean([len(set(a) & set(b)) / 40 for a, b in zip(got, want)]) > 0.999
+    assert len(deepened(x, x[:8], 3000, 1).levels) == 3
