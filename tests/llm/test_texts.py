@@ -60,6 +60,8 @@ def documents(items):
         bad[6] = bad[6].replace("o", "0").replace("e", "c").replace("i", "1")[:1] + bad[6][1:] if len(bad[6]) > 4 else bad[6]
         doc(bad, i)
         doc([*w[:9], "nothing", "whatever", "elsewhere", *w[12:20]], None)
+    # what an advert is comes from lines with an address
+    out += [(len(out) + k, subtitle(["Quorum zebra.", "Subtitles by Lumisub, www.lumisub.example"]), None) for k in range(1, 8)]
     return out
 
 
@@ -105,8 +107,9 @@ def test_damaged_windows_are_found(seed, damage):
 
 
 def test_spoken_words_only():
+    adverts = frozenset(leaks._shapes("Quill"))
     text = "1\n00:00:01,000 --> 00:00:02,000\n{\\an8}<i>Old river</i>\n[DOOR SLAMS]\nPELL: we (sighs) forgot\n\n2\n0:00:03.100 --> 0:00:04.000\nSync & corrections: Quill\n♪ la la la ♪\nla rivière\n"
-    assert [w for w in leaks.spoken(text) if w.strip()] == ["Old", "river", "we", "forgot", "la", "rivière"]
+    assert [w for w in leaks.Spoken(adverts).words(text) if w.strip()] == ["Old", "river", "we", "forgot", "la", "rivière"]
 
 
 FRENCH = "été déjà garçon mère forêt cœur voilà où être frère après lumière".split()
@@ -224,4 +227,30 @@ def test_block_hashes_change_in_one_block_only():
     a = leaks.block_hashes(h)
     h[7] += np.uint64(12345678901234567)
     b = leaks.block_hashes(h)
-    assert set(np.flatnonzero(a != b)) <= {5, 6, 7}
+    assert set(np.flatnonzero(a != b)) <= {6, 7}
+    # the order counts
+    assert leaks.block_hashes(h[[3, 4]])[0] != leaks.block_hashes(h[[4, 3]])[0]
+
+
+@pytest.mark.parametrize("every,length", [(3, 24), (4, 24), (6, 12), (2, 24)])
+def test_stretches_with_regular_damage(every, length):
+    rng = random.Random(every)
+    found = 0
+    for _ in range(100):
+        words = [rng.choice(WORDS + RARE) for _ in range(40)]
+        finder = leaks.Finder(leaks.build([" ".join(words)]))
+        at = rng.randrange(40 - length)
+        mine = words[at : at + length]
+        for k in range(every - 1, length, every):
+            j = rng.randrange(len(mine[k]))
+            mine[k] = mine[k][:j] + rng.choice("qxz") + mine[k][j + 1 :]
+        other = [rng.choice(OTHERS) for _ in range(10)]
+        found += finder.found([finder.numbers([*other, *mine, *other])]) == [(0, 0)]
+    assert found >= (99 if every > 2 else 0)
+
+
+def test_advert_words_come_from_the_corpus(spark):
+    docs = [(i, f"1\nriver letter {w}\n\n2\nVisit brandex{i % 2} at www.brandex.example and letter\n") for i, w in enumerate(WORDS)] + [(99, ""), (98, "no address here")]
+    got = leaks.advert_words(spark.createDataFrame(docs, "id long, text string"))
+    assert leaks._shapes("visit brandex brandex0 brandex1 example") <= got and not got & leaks._shapes("river letter")
+    assert leaks.Spoken(got).words("Subs by team Brandex\nriver") == ["river"]
