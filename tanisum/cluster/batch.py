@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import ranked_by
 from ..session import materialize
 from .criteria import criterion
-from .tree import Feature, fit
+from .tree import Feature, fit, poles
 
 FEATURES = "ord int, n long, ls array<long>, ids array<long>"
 
@@ -25,8 +26,10 @@ FEATURES = "ord int, n long, ls array<long>, ids array<long>"
 def _singles(ids: Sequence[int], on: Sequence[Sequence[int]], m: int) -> list[Feature]:
     out = []
     for i, bits in zip(ids, on, strict=True):
+        if len(bits) and not 0 <= min(bits) <= max(bits) < m:
+            raise ValueError(f"object {i} has a bit beyond the {m} expected")
         ls = np.zeros(m, np.int64)
-        ls[[b for b in bits if 0 <= b < m]] = 1
+        ls[bits] = 1
         out.append(Feature(1, ls, [i]))
     return out
 
@@ -107,11 +110,32 @@ def rounds(
 ) -> DataFrame:
     """``ord``, ``n``, ``ls``, ``ids`` of the clusters of all rows, largest first.
 
-    Parts are ranges of ids. Each is clustered by diameter; its largest cluster
-    is broken up and all goes once more through a tolerance tree. Bins of
-    ``bin_size`` parts are joined by tolerance trees until one is left. With
-    only_first the parts' own clusters come back, with their part as ``grp``.
+    Parts are runs of the order of ids. Each is clustered by diameter; its
+    largest cluster is broken up and all goes once more through a tolerance
+    tree. Bins of ``bin_size`` parts are joined by tolerance trees until one is
+    left. Only the least id of a part's cluster goes on to later trees; the
+    others are found again by a join. With only_first the parts' own clusters
+    come back, with their part as ``grp``.
     """
+    features = _parts(fp, m, rows_per_part, threshold, tolerance, branching, double_init)
+    if only_first:
+        return features
+    last = _joined(features, m, bin_size, threshold, tolerance, branching)
+    of = features.select(F.array_min("ids").alias("first"), "ids")
+    own = last.select("ord", F.explode("ids").alias("first")).join(of, "first").groupBy("ord").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    return last.drop("ids").join(own, "ord").select("ord", "n", "ls", "ids")
+
+
+def round_assignments(fp: DataFrame, m: int, *, rows_per_part: int = 10_000, bin_size: int = 10, threshold: float = 0.65, tolerance: float = 0.05, branching: int = 50, double_init: bool = True) -> DataFrame:
+    """``id``, ``cluster_id`` as of rounds, without gathering a cluster's ids in one row."""
+    features = _parts(fp, m, rows_per_part, threshold, tolerance, branching, double_init)
+    last = _joined(features, m, bin_size, threshold, tolerance, branching)
+    of = features.select(F.array_min("ids").alias("first"), "ids")
+    return assignments(last.select("ord", "ids")).withColumnRenamed("id", "first").join(of, "first").select(F.explode("ids").alias("id"), "cluster_id")
+
+
+def _parts(fp: DataFrame, m: int, rows_per_part: int, threshold: float, tolerance: float, branching: int, double_init: bool) -> DataFrame:
+    """Features of each part (grp)."""
     first, second = criterion("diameter", threshold), criterion("tolerance", threshold, tolerance)
 
     def start(key: tuple, t: pa.Table) -> pa.Table:
@@ -124,12 +148,16 @@ def rounds(
             found = fit([*by_class(found[1:]), *again], m, second, branching)
         return _table(by_class(found), grp=key[0])
 
-    low = fp.agg(F.min("id")).first()[0] or 0
-    parts = fp.select(F.floor((F.col("id") - low) / rows_per_part).alias("grp"), "id", "on")
-    features = materialize(parts.groupBy("grp").applyInArrow(start, f"grp long, {FEATURES}"), "round-1")
-    if only_first:
-        return features
+    rows, _ = ranked_by(fp.select("id", "on"), "id")
+    parts = rows.select(F.floor(F.col("rank") / rows_per_part).alias("grp"), "id", "on")
+    return materialize(parts.groupBy("grp").applyInArrow(start, f"grp long, {FEATURES}"), "round-1")
+
+
+def _joined(features: DataFrame, m: int, bin_size: int, threshold: float, tolerance: float, branching: int) -> DataFrame:
+    """The last tree's features; their ids are the least ones of the parts' clusters."""
+    second = criterion("tolerance", threshold, tolerance)
     left = (features.agg(F.max("grp")).first()[0] or 0) + 1
+    features = features.withColumn("ids", F.array(F.array_min("ids")))
     turn = 2
     while True:
         features = materialize(clustered(_queued(features, bin_size), m, second, branching, "grp"), f"round-{turn}")
@@ -139,9 +167,35 @@ def rounds(
 
 
 def assignments(clusters: DataFrame) -> DataFrame:
-    """``id``, ``cluster_id`` from 1 on, the largest cluster first."""
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "ord"))
-    return clusters.select(rank.alias("cluster_id"), "ids").select(F.explode("ids").alias("id"), "cluster_id")
+    """``id``, ``cluster_id`` from 1 on, the largest cluster first, as the clusters of one tree are numbered."""
+    return clusters.select((F.col("ord") + 1).alias("cluster_id"), F.explode("ids").alias("id")).select("id", "cluster_id")
+
+
+def halves(fp: DataFrame, m: int) -> DataFrame:
+    """``id``, ``half``: the sides that a node holding these objects would split into. For as many as a node has."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        bits = np.array([f.bits for f in _singles(t["id"].to_pylist(), t["on"].to_pylist(), m)])
+        pole, one, two = poles(bits)
+        left = (one > two) | (np.arange(len(bits)) == pole)
+        return pa.table({"id": t["id"], "half": pa.array(np.where(left, "left", "right"))})
+
+    return fp.select("id", "on", F.lit(0).alias("one")).groupBy("one").applyInArrow(lambda t: run(t), "id long, half string")
+
+
+def checked(clusters: DataFrame, threshold: float) -> DataFrame:
+    """``bit``, ``total``, ``objects``, ``ids``, ``similar``: column sums, sizes and different ids over all clusters, and whether sets of several objects keep the threshold."""
+    n = F.col("n").cast("double")
+    one = F.aggregate("ls", F.lit(0.0), lambda acc, x: acc + x)
+    two = F.aggregate("ls", F.lit(0.0), lambda acc, x: acc + x * x)
+    shared = (two - one) / 2
+    rows = clusters.select("n", "ls", "ids", ((F.col("n") < 2) | (F.try_divide(shared, shared + n * one - two) >= threshold)).alias("good"))
+    whole = rows.agg(F.sum("n").alias("objects"), F.coalesce(F.bool_and("good"), F.lit(False)).alias("similar"))
+    ids = rows.select(F.explode("ids").alias("id")).agg(F.countDistinct("id").alias("ids"))
+    sums = rows.select(F.posexplode("ls").alias("bit", "x")).groupBy("bit").agg(F.sum("x").alias("total"))
+    # one row each
+    return sums.join(F.broadcast(whole)).join(F.broadcast(ids)).select("bit", "total", "objects", "ids", "similar")
 
 
 def complete(found: DataFrame, fp: DataFrame) -> bool:

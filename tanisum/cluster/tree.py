@@ -30,7 +30,7 @@ class Feature:
         self.n += other.n
         self.ls = self.ls + other.ls
         if with_ids:
-            self.ids = self.ids + other.ids
+            self.ids.extend(other.ids)
         self.refresh()
 
 

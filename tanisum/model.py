@@ -8,6 +8,10 @@ Repeated ids are objects of their own unless ``distinct_ids`` is applied.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +46,25 @@ def unpacked(words: Column, m: int) -> Column:
 
 
 def from_packed(df: DataFrame, id_col: str, words_col: str, m: int) -> DataFrame:
-    """From 64-bit words, lowest bit first."""
-    return df.where(F.col(id_col).isNotNull() & F.col(words_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), unpacked(F.col(words_col), m).alias("on"))
+    """From 64-bit words, lowest bit first; bits from m on are padding. Batches are unpacked at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = -(-m // WORD)
+        for b in batches:
+            words = b.column("words")
+            off = words.offsets.to_numpy()
+            n = np.diff(off)
+            flat = words.flatten().to_numpy(zero_copy_only=False)
+            table = np.zeros((len(n), k), np.int64)
+            place = np.arange(len(flat)) - np.repeat(off[:-1] - off[0], n)
+            some = place < k
+            table[np.repeat(np.arange(len(n)), n)[some], place[some]] = flat[some]
+            row, bit = np.nonzero(np.unpackbits(table.view(np.uint8), axis=1, bitorder="little")[:, :m])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(bit.astype(np.int32)))], names=["id", "on"])
+
+    rows = df.where(F.col(id_col).isNotNull() & F.col(words_col).isNotNull())
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(words_col).alias("words")).mapInArrow(run, "id long, on array<int>")
 
 
 def to_packed(on: Column, m: int) -> Column:
@@ -63,6 +84,23 @@ def to_dense(on: Column, m: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.array_contains(on, i).cast("int"))
 
 
+def dense_rows(fp: DataFrame, m: int) -> DataFrame:
+    """``id``, ``row``: all fingerprints as arrays of m zeros and ones, a batch at a time. Bits beyond m raise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = b.column("on")
+            bits = on.flatten().to_numpy(zero_copy_only=False)
+            if len(bits) and not 0 <= bits.min() <= bits.max() < m:
+                raise ValueError(f"a bit is beyond the {m} expected")
+            x = np.zeros((b.num_rows, m), np.int32)
+            x[np.repeat(np.arange(b.num_rows), np.diff(on.offsets.to_numpy())), bits] = 1
+            ends = pa.array((np.arange(b.num_rows + 1) * m).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["id", "row"])
+
+    return fp.select("id", "on").mapInArrow(run, "id long, row array<int>")
+
+
 def to_long(fp: DataFrame) -> DataFrame:
     """(id, bit) rows of the 1-bits."""
     return fp.select("id", F.explode("on").alias("bit"))
@@ -78,7 +116,7 @@ def popcount(words: Column) -> Column:
 
 
 def resized(values: Column, m: int) -> Column:
-    """An array cut or filled with zeros to m elements."""
+    """An array of numbers cut or filled with zeros to m elements, for rows of another width; operators refuse bits beyond theirs."""
     return F.slice(F.concat(values, F.array_repeat(F.lit(0).cast("long"), m)), 1, m)
 
 

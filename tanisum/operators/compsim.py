@@ -28,8 +28,7 @@ def comp_sim(fp: DataFrame, m: int, name: str = "JT") -> DataFrame:
     )
     # one row of m numbers
     rows = fp.select("id", "on").join(F.broadcast(whole))
-    own = F.filter("on", lambda b: (b >= 0) & (b < m))
-    rows = rows.withColumns({"k": F.size(own).cast("double"), "s": F.aggregate(own, F.lit(0.0), lambda acc, b: acc + F.get("c", b))})
+    rows = rows.withColumns({"k": F.size("on").cast("double"), "s": F.aggregate("on", F.lit(0.0), lambda acc, b: acc + F.get("c", b))})
     a = F.col("a_all") - (F.col("s") - F.col("k"))
     dis = F.col("dis_all") + 2 * F.col("s") - n * F.col("k")
     d = F.col("d_all") + (n - 1) * F.col("k") - F.col("s")

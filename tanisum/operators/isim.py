@@ -9,19 +9,43 @@ gives null.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INDICES = ("AC", "BUB", "Fai", "Gle", "Ja", "JT", "RT", "RR", "SM", "SS1", "SS2")
 
 
+def _counted(m: int) -> Callable:
+    """Sums of a task's rows, m + 1 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros(m + 1, np.int64)
+        for b in batches:
+            bits = b.column("on").flatten().to_numpy(zero_copy_only=False)
+            if len(bits) and not 0 <= bits.min() <= bits.max() < m:
+                raise ValueError(f"a bit is beyond the {m} expected")
+            c[:m] += np.bincount(bits, minlength=m)[:m] if len(bits) else 0
+            c[m] += b.num_rows
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(at == m, -1, at).astype(np.int32)), pa.array(c[at])], names=["bit", "x"])
+
+    return run
+
+
 def stats(fp: DataFrame, m: int, by: str | None = None) -> DataFrame:
-    """``n`` and ``c`` (array of m sums), by group if ``by`` names a column; no row for an empty ungrouped table's groups."""
+    """``n`` and ``c`` (array of m sums), by group if ``by`` names a column; no row for an empty ungrouped table's groups. Bits beyond m raise."""
     keys = [by] if by else []
     # bit -1 counts the objects, all-zero ones too
-    bits = fp.select(*keys, F.explode(F.array_append(F.filter("on", lambda b: (b >= 0) & (b < m)), F.lit(-1))).alias("bit"))
-    counts = bits.groupBy(*keys, "bit").agg(F.count(F.lit(1)).alias("x"))
+    if by:
+        bit = F.when((F.col("bit") >= -1) & (F.col("bit") < m), F.col("bit")).otherwise(F.raise_error(F.lit(f"a bit is beyond the {m} expected")).cast("int"))
+        bits = fp.select(by, F.explode(F.array_append("on", F.lit(-1))).alias("bit")).select(by, bit.alias("bit"))
+        counts = bits.groupBy(by, "bit").agg(F.count(F.lit(1)).alias("x"))
+    else:
+        counts = fp.select("on").mapInArrow(_counted(m), "bit int, x long").groupBy("bit").agg(F.sum("x").alias("x"))
     got = counts.groupBy(*keys).agg(F.sum(F.when(F.col("bit") == -1, F.col("x")).otherwise(0)).alias("n"), F.map_from_entries(F.collect_list(F.struct("bit", "x"))).alias("at"))
     zero = F.lit(0).cast("long")
     c = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.coalesce(F.try_element_at("at", i), zero))

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from .. import model
 from ..cluster import batch
 from ..operators import badrows, compsim, isim, normalize, pairwise, real, sampling, sigma
-from ..session import work_dir
+from ..session import materialize, work_dir
 from ..sources import npy
 from ..sources.tables import read as _table
-from ..sources.tables import read_structures
+from ..sources.tables import read_structures, write_structures
 from ..streaming import online
 
 M_EMB, M_FP, M_BASKET = 64, 256, 25
@@ -46,8 +46,8 @@ def _emb(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fp(spark: SparkSession, d: str) -> DataFrame:
-    """Packed fingerprints, each id once."""
-    return model.from_packed(model.distinct_ids(_table(spark, d, "fp_packed").select("id", "words")), "id", "words", M_FP)
+    """Packed fingerprints, each id once; written down, as operators read them twice."""
+    return model.from_packed(materialize(model.distinct_ids(_table(spark, d, "fp_packed").select("id", "words")), "fp"), "id", "words", M_FP)
 
 
 def _basket(spark: SparkSession, d: str) -> DataFrame:
@@ -230,9 +230,17 @@ def sample_random(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mixed_layouts(spark: SparkSession, d: str) -> DataFrame:
-    """Each fingerprint's bits against its own words."""
+    """Each fingerprint's bits against the packed words of the one of least id."""
     fp = _emb(spark, d)
-    return _rounded(fp.select("id", pairwise.tanimoto_mixed(F.col("on"), model.to_packed(F.col("on"), M_EMB), M_EMB).alias("sim")))
+    # one row
+    least = fp.orderBy("id").limit(1).select(model.to_packed(F.col("on"), M_EMB).alias("words"))
+    return _rounded(fp.join(F.broadcast(least)).select("id", pairwise.tanimoto_mixed(F.col("on"), F.col("words"), M_EMB).alias("sim")))
+
+
+def centroid_of_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Majority bits of the objects with a listed id."""
+    ids = _table(spark, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("id"))
+    return isim.centroids(isim.stats(model.gathered(_emb(spark, d), ids), M_EMB)).select(F.explode("on").alias("bit"))
 
 
 def sample_medoid_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -345,82 +353,126 @@ def random_sigma(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(sigma.at_random(_emb(spark, d), M_EMB))
 
 
-# clusters
+# clusters; flat ones have a tree of one leaf, which SQL can follow
+
+FLAT = 1000
+
+
+def _flat_query(method: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return batch.assignments(batch.exact(_emb(spark, d), M_EMB, method=method, threshold=0.4, branching=FLAT))
+
+    return run
 
 
-def _cluster_query(method: str) -> Query:
+def _deep_query(method: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return batch.assignments(batch.exact(_emb(spark, d), M_EMB, method=method, threshold=0.4))
+        found = _checked(batch.exact(_emb(spark, d), M_EMB, method=method, threshold=0.4))
+        # a radius says nothing about the set's similarity
+        return found.drop("similar") if method == "radius" else found
 
     return run
 
 
+def _checked(clusters: DataFrame) -> DataFrame:
+    """Sums, sizes and ids over all clusters; a tree of several levels has no SQL but must lose nothing."""
+    return batch.checked(clusters, 0.4).select("bit", F.col("total").cast("long").alias("total"), "objects", "ids", "similar")
+
+
+def _exact(spark: SparkSession, d: str, branching: int) -> DataFrame:
+    return batch.exact(_emb(spark, d), M_EMB, threshold=0.4, branching=branching)
+
+
 def cluster_by_label(spark: SparkSession, d: str) -> DataFrame:
-    return batch.exact(_labelled(spark, d), M_EMB, by="label", threshold=0.4).select("label", "ord", "n", F.array_min("ids").alias("first_id"))
+    found = batch.exact(_labelled(spark, d), M_EMB, by="label", threshold=0.4)
+    return found.select("label", "n", F.explode("ids").alias("id")).groupBy("label").agg(F.count(F.lit(1)).alias("objects"), F.countDistinct("id").alias("ids"), F.sum("id").alias("id_sum"))
+
+
+def cluster_flat_by_label(spark: SparkSession, d: str) -> DataFrame:
+    found = batch.exact(_labelled(spark, d), M_EMB, by="label", threshold=0.4, branching=FLAT)
+    return found.select("label", "ord", "n", F.array_min("ids").alias("first_id"))
 
 
 def cluster_rounds(spark: SparkSession, d: str) -> DataFrame:
-    return batch.assignments(batch.rounds(_emb(spark, d), M_EMB, rows_per_part=200, bin_size=3, threshold=0.4))
+    return _checked(batch.rounds(_emb(spark, d), M_EMB, rows_per_part=200, bin_size=3, threshold=0.4)).drop("similar")
+
 
+def cluster_flat_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return batch.round_assignments(_emb(spark, d), M_EMB, rows_per_part=200, bin_size=3, threshold=0.4, branching=FLAT)
 
-def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
-    got = batch.centroids(batch.exact(_emb(spark, d), M_EMB, threshold=0.4))
-    return got.select("ord", "n", F.size("on").alias("n_on"))
 
+def cluster_flat_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return batch.centroids(_exact(spark, d, FLAT)).select("ord", "n", F.size("on").alias("n_on"))
 
-def cluster_refined(spark: SparkSession, d: str) -> DataFrame:
+
+def cluster_flat_refined(spark: SparkSession, d: str) -> DataFrame:
     """The largest cluster broken up into its objects, after the other clusters."""
-    fp = _emb(spark, d)
-    rest, singles = batch.largest_broken_up(batch.exact(fp, M_EMB, threshold=0.4), fp, M_EMB)
+    rest, singles = batch.largest_broken_up(_exact(spark, d, FLAT), _emb(spark, d), M_EMB)
     return rest.select("n", "ids").unionByName(singles.select("n", "ids")).select("n", F.array_min("ids").alias("first_id"))
 
 
+def cluster_poles(spark: SparkSession, d: str) -> DataFrame:
+    """The two sides that a node of all embeddings would split into."""
+    return batch.halves(_emb(spark, d), M_EMB)
+
+
+def cluster_packed_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of all packed fingerprints, made in parts by diameter."""
+    found = batch.rounds(_fp(spark, d), M_FP, rows_per_part=1000, threshold=0.4, only_first=True, double_init=False)
+    return _checked(found)
+
+
 # sources and streams
 
 
 def npy_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Dense bits written to and read from numpy files."""
-    npy.register(spark)
+    """Packed fingerprints' bits written to and read from numpy files, under ids with gaps."""
     # a path that all executors see, as the shared folder is
-    folder = f"{work_dir(spark)}/npy-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
-    dense = _emb(spark, d).select("id", model.to_dense(F.col("on"), M_EMB).alias("row")).repartitionByRange(4, "id")
-    dense.write.format("npy").mode("overwrite").option("path", folder).save()
+    folder = f"{work_dir(spark)}/npy-{uuid.uuid4().hex}"
+    npy.save(model.dense_rows(_fp(spark, d), M_FP), folder)
     back = spark.read.format("npy").option("slices", "true").load(folder)
-    return back.select("id", F.aggregate("row", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("n_on"))
+    return model.from_dense(back, "id", "row").select("id", F.explode("on").alias("bit"))
 
 
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Structures written to and read from CSV with quoted fields."""
-    rows = _table(spark, d, "logp_data").select("DATABASE_ID", "NAME", "SMILES_n", "SMILES", "logPN", "logPI").where("NAME is not null")
+    """Structures with nulls, quotes and line breaks written to and read from CSV."""
+    rows = _table(spark, d, "logp_data").select("DATABASE_ID", "NAME", "SMILES_n", "SMILES", "logPN", "logPI")
     folder = f"{work_dir(spark)}/csv-{uuid.uuid4().hex}"
-    # line breaks inside of structures would cut a line in two
-    flat = rows.withColumns({c: F.translate(c, "\r\n", "  ") for c in ("NAME", "SMILES_n", "SMILES")})
-    flat.write.csv(folder, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    back = read_structures(spark, folder)
-    return back.select(F.count(F.lit(1)).alias("n"), F.sum(F.length("NAME")).alias("name_chars"), F.count(F.when(F.col("logPN").isNull(), 1)).alias("no_logpn"), F.countDistinct("NAME").alias("names"))
+    write_structures(rows, folder)
+    back = read_structures(spark, folder, line_breaks=True)
+    sums = [F.sum(F.length(c)).alias(f"{c}_chars") for c in ("NAME", "SMILES_n", "SMILES")] + [F.count(c).alias(f"{c}_given") for c in ("NAME", "SMILES", "logPN")]
+    return back.select(F.count(F.lit(1)).alias("n"), *sums, F.countDistinct("NAME").alias("names"), F.countDistinct("SMILES").alias("structures"))
 
 
-def stream_clusters(spark: SparkSession, d: str) -> DataFrame:
+def _online(spark: SparkSession, d: str, branching: int) -> DataFrame:
     """Clusters of the embeddings' sign bits that came in two batches."""
     fp = _emb(spark, d)
-    clusters = online.OnlineClusters(f"{work_dir(spark)}/online-{uuid.uuid4().hex}", M_EMB, threshold=0.4)
+    clusters = online.OnlineClusters(f"{work_dir(spark)}/online-{uuid.uuid4().hex}", M_EMB, threshold=0.4, branching=branching)
     for k in (0, 1):
         clusters.update(fp.where(F.col("id") % 2 == k), k)
-    return batch.assignments(clusters.snapshot(spark, 1))
+    return clusters.snapshot(spark, 1)
+
+
+def stream_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(_online(spark, d, 50)).drop("similar")
+
+
+def stream_flat_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return batch.assignments(_online(spark, d, FLAT))
 
 
 def stream_isim(spark: SparkSession, d: str) -> DataFrame:
-    """Set similarity of packed fingerprints that came as a stream."""
+    """Set similarity of packed fingerprints that came as a stream of several batches."""
     folder = work_dir(spark)
-    # a table is one file or a folder of files; streams read folders
-    parent, _, file = _table(spark, d, "fp_packed").inputFiles()[0].rpartition("/")
-    only = "*.parquet" if parent.endswith("fp_packed.parquet") else file
-    source = spark.readStream.schema("id long, words array<long>").option("maxFilesPerTrigger", 4).option("pathGlobFilter", only).parquet(parent)
-    sums = online.live_sums(model.from_packed(source, "id", "words", M_FP), M_FP)
     name = f"live_{uuid.uuid4().hex}"
+    _table(spark, d, "fp_packed").repartition(4).write.parquet(f"{folder}/{name}-in")
+    source = spark.readStream.schema("id long, words array<long>").option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}-in")
+    sums = online.live_sums(model.from_packed(source, "id", "words", M_FP), M_FP)
     # complete mode: the sums are m + 1 rows
     query = sums.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
+    if len([p for p in query.recentProgress if p["numInputRows"]]) < 2:
+        raise RuntimeError("the stream came in one batch")
     return _rounded(online.isim_of(spark.table(name), M_FP))
 
 
@@ -430,7 +482,8 @@ def queries() -> dict[str, Query]:
         column_sums, pack_words, unpack_bits, popcounts, flip_counts, union_words, comp_sim_packed, medoid, outlier, sample_medoid, sample_outlier,
         sample_extremes, sample_stratified, sample_strata7, sample_quota, sample_quota_soft, sample_medoid_packed, pairwise_matrix, one_against_many,
         topk_neighbors, minmax, minmax_descriptors, drop_nan_columns, real_isim_descriptors, real_medoid, real_outlier, real_pair_functions, sigma_packed, cooccurrence,
-        stratified_sigma, random_sigma, cluster_by_label, cluster_rounds, cluster_centroids, cluster_refined, npy_round_trip, csv_round_trip, sample_random, mixed_layouts, stream_isim, stream_clusters,
+        stratified_sigma, random_sigma, cluster_poles, cluster_packed_checked, cluster_by_label, cluster_flat_by_label, cluster_rounds, cluster_flat_rounds, cluster_flat_centroids, cluster_flat_refined,
+        stream_clusters, stream_flat_clusters, npy_round_trip, csv_round_trip, sample_random, mixed_layouts, centroid_of_ids, stream_isim,
     )
     found: dict[str, Query] = {f.__name__: f for f in named}
     for kind in ("JT", "RR", "SM"):
@@ -438,5 +491,5 @@ def queries() -> dict[str, Query]:
         found |= {f"isim_index_{k}": _index_query(kind), f"comp_sim_{k}": _comp_query(kind), f"pairwise_{k}_avg_std": _pair_query(kind), f"real_isim_{k}": _real_isim_query(kind)}
         found |= {f"real_comp_sim_{k}": _real_comp_query(kind), f"real_pairwise_{k}": _real_pair_query(kind), f"sigma_{k}": _sigma_query(kind)}
     for method in ("radius", "diameter", "tolerance", "tolerance_tough"):
-        found[f"cluster_exact_{method}"] = _cluster_query(method)
+        found |= {f"cluster_exact_{method}": _deep_query(method), f"cluster_flat_{method}": _flat_query(method)}
     return found

@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the same rows as the registered core queries."""
 
+from . import cluster_sql
+
 _P1 = r"""
 with lines as (
   select raw_id, case when ends_with(raw_line, chr(13)) then substr(raw_line, 1, length(raw_line) - 1) else raw_line end as line
@@ -252,11 +254,23 @@ fp2 as (select * from fp where id in (select id from ids2)), sz as (select ids2.
 dots as (select a.id as i, b.id as j, count(*) as x from fp2 a join fp2 b on a.bit = b.bit and a.id < b.id group by 1, 2),
 prs as (select a.k as ka, b.k as kb, coalesce(x, 0) as x from sz a join sz b on a.id < b.id left join dots on dots.i = a.id and dots.j = b.id)
 select round(avg({_PAIR['JT']}), 8) as mean, round(stddev_pop({_PAIR['JT']}), 8) as std from prs""",
-    "csv_round_trip": """select count(*) as n, sum(length(NAME))::bigint as name_chars, count(*) filter (logPN is null) as no_logpn,
-  count(distinct translate(NAME, chr(13) || chr(10), '  ')) as names from logp_data where NAME is not null""",
-    "mixed_layouts": "select vec_id as id, case when len(list_filter(embedding, lambda x: x > 0)) > 0 then 1.0 end as sim from embeddings",
-    "npy_round_trip": "select vec_id as id, len(list_filter(embedding, lambda x: x > 0)) as n_on from embeddings",
+    "csv_round_trip": """select count(*) as n, sum(length(NAME))::bigint as "NAME_chars", sum(length(SMILES_n))::bigint as "SMILES_n_chars", sum(length(SMILES))::bigint as "SMILES_chars",
+  count(NAME) as "NAME_given", count(SMILES) as "SMILES_given", count(logPN) as "logPN_given", count(distinct NAME) as names, count(distinct SMILES) as structures from logp_data""",
+    "mixed_layouts": _emb() + """, q as (select bit from fp where id = (select min(id) from ids)), sz as (select ids.id, count(fp.bit) as k from ids left join fp on fp.id = ids.id group by ids.id),
+x as (select fp.id, count(*) as x from fp join q on q.bit = fp.bit group by fp.id)
+select sz.id, round(coalesce(x, 0)::double / nullif(k + (select count(*) from q) - coalesce(x, 0), 0), 8) as sim from sz left join x on x.id = sz.id""",
+    "centroid_of_ids": """with e as (select unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as bit from embeddings where label = 3)
+select bit::int as bit from e group by bit having count(*) filter (x > 0) * 2 >= count(*)""",
+    "npy_round_trip": _packed() + " select id, bit::int as bit from fp",
+    "sample_random": "select vec_id as id from embeddings order by md5('1:' || vec_id), vec_id limit 50",
+    "random_sigma": _emb() + f""", ids2 as (select id from ids order by md5('1:' || id), id limit 50),
+fp2 as (select * from fp where id in (select id from ids2)), sz as (select ids2.id, count(fp2.bit) as k from ids2 left join fp2 on fp2.id = ids2.id group by ids2.id),
+dots as (select a.id as i, b.id as j, count(*) as x from fp2 a join fp2 b on a.bit = b.bit and a.id < b.id group by 1, 2),
+prs as (select a.k as ka, b.k as kb, coalesce(x, 0) as x from sz a join sz b on a.id < b.id left join dots on dots.i = a.id and dots.j = b.id)
+select round(avg({_PAIR['JT']}), 8) as mean, round(stddev_pop({_PAIR['JT']}), 8) as std from prs""",
     "stream_isim": f"""with w as (select row_number() over () as id, words from fp_packed where id is not null and words is not null),
 fp as (select id, bit from w, range(256) t(bit) where ((words[bit // 64 + 1] >> (bit % 64)) & 1) = 1), ids as (select id from w), {_sums(256)}{_counters()}
 select n, round(a / (a + total_dis), 8) as isim from k""",
 }
+
+ORACLE |= cluster_sql.ORACLE

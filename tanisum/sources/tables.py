@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What stands for null in CSV.
+NULL = "\\N"
 LOGP = "DATABASE_ID string, NAME string, SMILES_n string, SMILES string, logPN double, logPI double"
 
 
@@ -14,9 +16,14 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_structures(spark: SparkSession, path: str, schema: str = LOGP) -> DataFrame:
-    """CSV with a header and quoted fields, under a declared schema."""
-    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"')
+def read_structures(spark: SparkSession, path: str, schema: str = LOGP, line_breaks: bool = False) -> DataFrame:
+    """CSV with a header and quoted fields under a declared schema; files whose fields hold line breaks aren't split."""
+    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=line_breaks, nullValue=NULL, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_structures(df: DataFrame, path: str) -> None:
+    """The same format: all fields quoted, line breaks kept, nulls told from empty strings."""
+    df.write.csv(path, header=True, quoteAll=True, escape='"', nullValue=NULL, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False, by: str | None = None) -> None:
@@ -38,18 +45,5 @@ def read_round(spark: SparkSession, folder: str, number: int) -> DataFrame:
 
 
 def write_clusters(clusters: DataFrame, path: str, overwrite: bool = False) -> None:
-    """``cluster_id``, ``n``, ``ids``, the largest cluster first."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "ord"))
-    write_table(clusters.select(rank.alias("cluster_id"), "n", "ids"), path, overwrite)
-
-
-def memory_report(spark: SparkSession) -> DataFrame:
-    """``executor``, ``max_mb``, ``free_mb`` of storage memory."""
-    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
-    it, rows = status.iterator(), []
-    while it.hasNext():
-        e = it.next()
-        rows.append((e._1(), e._2()._1() / 2**20, e._2()._2() / 2**20))
-    return spark.createDataFrame(rows, "executor string, max_mb double, free_mb double")
+    """``cluster_id``, ``n``, ``ids``, the largest cluster first, as the clusters of one tree are numbered."""
+    write_table(clusters.select((F.col("ord") + 1).alias("cluster_id"), "n", "ids"), path, overwrite)

@@ -115,6 +115,28 @@ def test_rounds_are_complete_and_repeatable(fp, double):
     assert {r["grp"] for r in first.collect()} == set(range(8))
 
 
+def test_parts_are_rows_not_ranges_of_ids(fp):
+    sparse = fp.withColumn("id", F.col("id") * 1_000_000 - 5)
+    first = batch.rounds(sparse, 32, rows_per_part=100, threshold=0.6, only_first=True)
+    assert {r["grp"]: r["n"] for r in first.groupBy("grp").agg(F.sum("n").alias("n")).collect()} == {0: 100, 1: 100, 2: 100}
+    one = batch.rounds(fp, 32, rows_per_part=40, bin_size=3, threshold=0.6)
+    two = batch.round_assignments(fp, 32, rows_per_part=40, bin_size=3, threshold=0.6)
+    assert sorted(map(tuple, batch.assignments(one).collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_bits_beyond_the_width_are_refused(fp):
+    with pytest.raises(Exception, match="beyond the 16"):
+        batch.exact(fp, 16).count()
+
+
+def test_checks_and_halves(fp):
+    got = batch.exact(fp, 32, threshold=0.6)
+    assert {(r["objects"], r["ids"], r["similar"]) for r in batch.checked(got, 0.6).collect()} == {(300, 300, True)}
+    assert {r["similar"] for r in batch.checked(got, 0.99).collect()} == {False}
+    sides = {r["half"] for r in batch.halves(fp, 32).collect()}
+    assert sides == {"left", "right"}
+
+
 def test_largest_broken_up(fp):
     got = batch.exact(fp, 32, threshold=0.6)
     rest, singles = batch.largest_broken_up(got, fp, 32)
@@ -168,12 +190,14 @@ def test_command_line(spark, fp, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
         np.save(tmp_path / "in" / f"fps_{k}_{k * 100}.npy", np.packbits(x[k * 100 : k * 100 + 100], axis=1))
-    options = [str(tmp_path / "in"), str(tmp_path / "out"), "--bits", "32", "--threshold", "0.6", "--rows-per-part", "100"]
+    options = ["--in-dir", str(tmp_path / "in"), "--out-dir", str(tmp_path / "out"), "--bits", "32", "--threshold", "0.6", "--rows-per-part", "100"]
     main(options, spark)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(i for r in got.collect() for i in r["ids"]) == list(range(300))
     assert table_parts(got) == table_parts(batch.rounds(fp, 32, rows_per_part=100, threshold=0.6))
     with pytest.raises(Exception, match="already exists"):
-        main(options, spark)
-    main([*options[:1], str(tmp_path / "first"), *options[2:], "--only-first-round", "--max-files", "2"], spark)
+        main([*options, "--no-overwrite-outputs"], spark)
+    main([*options, "--monitor-rss", str(tmp_path / "rss.csv")], spark)
+    assert len((tmp_path / "rss.csv").read_text().splitlines()) > 1
+    main([*options, "--out-dir", str(tmp_path / "first"), "--only-first-round", "--max-files", "2"], spark)
     assert spark.read.parquet(str(tmp_path / "first" / "round=1")).agg(F.sum("n")).first()[0] == 200

@@ -5,14 +5,16 @@ import os
 import re
 import subprocess
 import sys
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tanisum import model
 from tanisum.functions import features
 from tanisum.operators import badrows
-from tanisum.sources import npy, tables
+from tanisum.sources import memory, npy, tables
 
 GOOD = [
     'M1,n,C,c1ccccc1,1.5,-2',
@@ -131,21 +133,36 @@ def test_npy_packed_bits(spark, tmp_path):
     assert on == {7 + i: np.flatnonzero(r).tolist() for i, r in enumerate(x)}
 
 
-def test_npy_write(spark, tmp_path):
-    npy.register(spark)
-    df = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(10)], "id long, row array<double>").repartitionByRange(3, "id")
-    df.write.format("npy").mode("overwrite").option("path", str(tmp_path / "f")).save()
-    back = spark.read.format("npy").option("slices", "true").load(str(tmp_path / "f"))
-    assert sorted((r["id"], r["row"]) for r in back.collect()) == [(i, [float(i), 0.5]) for i in range(10)]
+def test_npy_write(spark, tmp_path, monkeypatch):
+    at = str(tmp_path / "f")
+    # ids in any order and with gaps
+    df = spark.createDataFrame([(i, [float(i), 0.5]) for i in (9, 0, 5, 1, 6, 7, 3, 40, 41)], "id long, row array<double>").repartition(3)
+    npy.save(df, at)
+    back = spark.read.format("npy").option("slices", "true").load("file://" + at)
+    assert sorted((r["id"], r["row"]) for r in back.collect()) == [(i, [float(i), 0.5]) for i in (0, 1, 3, 5, 6, 7, 9, 40, 41)]
     with pytest.raises(Exception, match="isn't empty"):
-        df.write.format("npy").mode("append").option("path", str(tmp_path / "f")).save()
+        npy.save(df, at)
+    npy.save(df.where("id < 2"), at, overwrite=True)
+    assert spark.read.format("npy").option("slices", "true").load(at).count() == 2
+    for bad, why in (([(1, [1.0]), (1, [2.0])], "not repeat"), ([(1, [1.0]), (2, [2.0, 3.0])], "one length"), ([(1, None)], "not be null")):
+        with pytest.raises(Exception, match=why):
+            npy.save(spark.createDataFrame(bad, "id long, row array<double>").coalesce(1), str(tmp_path / "g"), overwrite=True)
+
+
+def test_npy_files_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(npy, "FILE_BYTES", 64)
+    w = npy.NpyWriter({"path": str(tmp_path / "h")}, True)
+    batch = lambda ids: pa.RecordBatch.from_arrays([pa.array(ids), pa.array([[i, i + 1] for i in ids])], names=["id", "row"])
+    w.commit([w.write(iter([batch([0, 1, 2]), batch([3, 4, 5]), batch([8, 9])])), w.write(iter([]))])
+    assert [p.name for p in npy.listed(str(tmp_path / "h"))] == ["rows_0_3.npy", "rows_3_6.npy", "rows_8_10.npy"]
+    assert np.load(tmp_path / "h" / "rows_3_6.npy").tolist() == [[3, 4], [4, 5], [5, 6]]
 
 
 def test_tables(spark, tmp_path):
     (tmp_path / "s.csv").write_text('DATABASE_ID,NAME,SMILES_n,SMILES,logPN,logPI\nA,"x, ""y""",C,CC,1.5,-2\n')
     row = tables.read_structures(spark, str(tmp_path / "s.csv")).collect()[0]
     assert (row["NAME"], row["logPN"]) == ('x, "y"', 1.5)
-    df = spark.createDataFrame([(0, 1, [1], [7]), (1, 300, [5], [1, 2])], "ord int, n long, ls array<long>, ids array<long>")
+    df = spark.createDataFrame([(1, 1, [1], [7]), (0, 300, [5], [1, 2])], "ord int, n long, ls array<long>, ids array<long>")
     tables.write_round(df, str(tmp_path), 1)
     assert [r["n"] for r in tables.read_round(spark, str(tmp_path), 1).collect()] == [300, 1]
     with pytest.raises(Exception, match="already exists"):
@@ -153,7 +170,18 @@ def test_tables(spark, tmp_path):
     tables.write_round(df, str(tmp_path), 1, overwrite=True)
     tables.write_clusters(df, str(tmp_path / "c"))
     assert [(r["cluster_id"], r["n"]) for r in spark.read.parquet(str(tmp_path / "c")).orderBy("cluster_id").collect()] == [(1, 300), (2, 1)]
-    assert tables.memory_report(spark).count() >= 1
+    for text in ("a,\r\nb", 'say "x"', "", None, " y "):
+        tables.write_structures(spark.createDataFrame([("A", text, "C", "CC", None, 1.0)], tables.LOGP), str(tmp_path / "csv" / str(hash(text))))
+        assert tables.read_structures(spark, str(tmp_path / "csv" / str(hash(text))), line_breaks=True).first()["NAME"] == text
+
+
+def test_memory(spark, tmp_path):
+    assert memory.memory_report(spark).count() >= 1
+    with memory.RssTrace(str(tmp_path / "rss.csv"), 0.01) as trace:
+        time.sleep(0.1)
+    lines = (tmp_path / "rss.csv").read_text().splitlines()
+    assert lines[0] == "seconds,rss_gib" and len(lines) > 3 and trace.peak > 0
+    assert memory.peak_mb()["self"] > 1
 
 
 def test_features_need_their_toolkit(spark):
@@ -169,6 +197,37 @@ def test_features_need_their_toolkit(spark):
         assert {r["id"]: r["on"] is None for r in features.binary_fps(df).collect()} == {1: False, 2: True}
 
 
+class Molecule:
+    def __init__(self, text):
+        self.text = text
+
+    def GetOnBits(self):  # noqa: N802
+        return sorted({ord(c) % 16 for c in self.text})
+
+
+def test_features_with_a_stand_in_toolkit(spark, monkeypatch):
+    """The plumbing, with a toolkit whose molecules are their letters."""
+    from types import SimpleNamespace as Space
+
+    def failing(x):
+        raise ValueError
+
+    generator = Space(GetFingerprint=lambda x: x)
+    monkeypatch.setattr(features, "Chem", Space(MolFromSmiles=lambda s: None if "!" in s else Molecule(s)))
+    monkeypatch.setattr(features, "rdFingerprintGenerator", Space(GetRDKitFPGenerator=lambda fpSize: generator, GetMorganGenerator=lambda radius, fpSize: generator), raising=False)
+    monkeypatch.setattr(features, "MACCSkeys", Space(GenMACCSKeys=lambda x: x), raising=False)
+    monkeypatch.setattr(features, "Descriptors", Space(descList=[("length", lambda x: len(x.text)), ("none", failing)]), raising=False)
+    batch = lambda rows: [pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "smiles": [r[1] for r in rows]})]
+    rows = [(1, "CCO"), (2, "C!"), (3, None), (4, "")]
+    for kind in features.KINDS:
+        make = features._maker(kind, 16)
+        assert make(Molecule("CO")).GetOnBits() == [3, 15]
+        got = pa.Table.from_batches(features._binary(batch(rows), kind, 16)).to_pylist()
+        assert [(r["id"], r["on"]) for r in got] == [(1, [3, 15]), (2, None), (3, None), (4, None)]
+    got = pa.Table.from_batches(features._real(batch(rows))).to_pylist()
+    assert got[0]["v"][0] == 3.0 and np.isnan(got[0]["v"][1]) and np.isnan(got[1]["v"]).all()
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as e
 

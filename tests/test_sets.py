@@ -134,6 +134,13 @@ def test_layouts_round_trip(spark):
     assert spark.range(1).select(model.resized(F.array(F.lit(1).cast("long")), 3).alias("r")).collect()[0]["r"] == [1, 0, 0]
 
 
+def test_dense_rows(spark):
+    fp = spark.createDataFrame([(1, [0, 4]), (2, [])], "id long, on array<int>")
+    assert {r["id"]: r["row"] for r in model.dense_rows(fp, 5).collect()} == {1: [1, 0, 0, 0, 1], 2: [0] * 5}
+    with pytest.raises(Exception, match="beyond the 4"):
+        model.dense_rows(fp, 4).collect()
+
+
 def test_nulls_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, [5]), (1, [5]), (None, [1]), (2, None)], "id long, words array<bigint>")
     fp = model.from_packed(df, "id", "words", 8)
@@ -189,6 +196,23 @@ def test_ranks_span_partitions(spark):
     assert n == 1000 and got == {i: k for k, i in enumerate(order)}
 
 
+def test_bits_beyond_the_width_are_refused(spark):
+    fp = spark.createDataFrame([(1, [0, 9], "x"), (2, [1], "y")], "id long, on array<int>, g string")
+    for run in (lambda: isim.stats(fp, 8).count(), lambda: isim.stats(fp, 8, "g").collect(), lambda: compsim.comp_sim(fp, 8).collect()):
+        with pytest.raises(Exception, match="beyond the 8"):
+            run()
+
+
+def test_bins_follow_their_edges(spark):
+    low, high, bins = 0.1, 0.7, 7
+    step = (high - low) / bins
+    scores = [low + i * step + d for i in range(bins + 1) for d in (-1e-17, 0, 1e-17, step / 3)] + [high]
+    df = spark.createDataFrame([(s,) for s in scores], "s double").select("s", sampling.bin_of(F.col("s"), low, step, bins).alias("b"))
+    for r in df.collect():
+        assert r["b"] == max(sum(low + i * step <= r["s"] for i in range(bins)) - 1, 0)
+    assert {r["b"] for r in df.where("s >= 0.5").select(sampling.bin_of(F.col("s"), 0.5, 0.0, 4).alias("b")).collect()} == {3}
+
+
 def test_dispersion(spark):
     fp = bits(spark, B4)
     for kind, want in (("RR", 0.224381866964), ("SM", 0.276385399196), ("JT", 0.283429726691)):
