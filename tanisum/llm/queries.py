@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -40,6 +40,15 @@ def p3_subset(spark: SparkSession, d: str) -> DataFrame:
     return varied_subset(_table(spark, d, "logp_data"), id_col="rec_id", text_col="SMILES", share=0.01)
 
 
+def p3_size(spark: SparkSession, d: str) -> DataFrame:
+    """How many records were chosen, how many different and known ones among them, and how many they stand for."""
+    known = _table(spark, d, "logp_data").select(F.col("rec_id").alias("id")).distinct()
+    chosen = materialize(p3_subset(spark, d), "chosen")
+    valid = chosen.join(known, "id", "left_semi").agg(F.countDistinct("id").alias("n_valid"))
+    # one row each
+    return chosen.agg(F.count(F.lit(1)).alias("n"), F.sum("n_group").alias("n_records")).join(F.broadcast(valid))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "logp_data")
     return similar_pairs(rows, id_col="rec_id", text_col="SMILES", by="delivery_id", threshold=0.8).select("id_a", "id_b")
@@ -94,6 +103,24 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A mixture of domain (short and long texts), language and source that asks some sources for more than they have."""
+    docs = _table(spark, d, "documents").withColumn("domain", F.when(F.col("n_chars") < 1500, "short").otherwise("long"))
+    total = 2 * (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 3
+    return mixture(docs, _table(spark, d, "source_weight"), id_col="doc_id", text_col="text", source_col="source", below=["domain", "lang"], total=total)
+
+
+def p8_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source keeps its cap, how often its documents may be used at most, and whether all it can give is given if it falls short."""
+    report = _tree(spark, d)[1].alias("r")
+    caps = _table(spark, d, "source_weight").select("source", "max_repeats")
+    most = F.col("available") * F.col("max_repeats")
+    whole = F.sum("tokens").over(Window.partitionBy())  # one row a source
+    share = F.col("tokens") / whole
+    rows = report.join(caps, "source").withColumn("share", share)
+    return rows.select("source", "max_repeats", (F.col("tokens") <= most).alias("within_cap"), ((F.col("share") >= F.col("target_share") - 0.01) | (F.col("tokens") >= 0.99 * most)).alias("no_spare"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return restored(_table(spark, d, "documents"), id_col="doc_id", text_col="text").select(F.col("id").alias("doc_id"))
 
@@ -103,4 +130,4 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_nearest, p3_subset, p4_found, p4_similarity, p5_found, p5_groups, p6_found, p6_counts, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p2_found, p2_nearest, p3_subset, p3_size, p4_found, p4_similarity, p5_found, p5_groups, p6_found, p6_counts, p7_found, p7_items, p8_mixture, p8_shares, p8_tree, p9_found, p9_restored)}

@@ -59,4 +59,10 @@ ORACLE = {
 select coalesce(g.first_id, d.rec_id) as first_id, count(*) as n_copies
 from logp_data d left join grouped g on d.rec_id = g.rec_id group by 1
 """,
+    "p3_size": f"""
+with p as (select {_plain('SMILES')} as f from logp_data where rec_id is not null), v as (select count(*) as n from p where length(f) >= 4)
+select greatest(1, round_even(n * 0.01, 0))::bigint as n, n as n_records, greatest(1, round_even(n * 0.01, 0))::bigint as n_valid from v
+""",
+    # what holds for every mixture that asks for more than there is
+    "p8_tree": "select source, max_repeats, true as within_cap, true as no_spare from source_weight",
 }

@@ -155,6 +155,25 @@ def test_repair(spark):
     assert all(n > 0 for _, n in got.values())
 
 
+def test_words_of_one_token_through_different_channels():
+    words = {"été": 40, "góra": 40, "мама": 30}
+    lex = mojibake.Lexicon(words, {c: 50 for c in "éóмамa"}, 100)
+    one, two = "été".encode().decode("latin-1"), "góra".encode().decode("cp437")
+    assert mojibake.judge(f"{one}-{two}", lex)[:2] == ("été-góra", True)
+    # a part that is as it was written
+    assert mojibake.judge(f"{one}-góra", lex)[:2] == ("été-góra", True)
+    assert mojibake.judge("été-góra", lex)[:2] == ("été-góra", False)
+
+
+@pytest.mark.parametrize("by_name", [200_000, 40])
+def test_rare_words_are_counted_too(spark, monkeypatch, by_name):
+    monkeypatch.setattr(mojibake, "LEXICON", by_name)
+    docs = [(i, t) for i, t in corpus()] + [(500, "źrebięta źrebięta"), (501, "źrebięta")]
+    lex = mojibake.lexicon(spark.createDataFrame(docs, "id long, text string"))
+    assert lex.docs == len(docs) and lex.count("źrebięta") == 2 and lex.count("ąąąą") == 0
+    assert lex.count("été") == sum("été" in t.split() for _, t in corpus())
+
+
 def test_no_texts(spark):
     none = spark.createDataFrame([], "a bigint, b string")
     assert mojibake.restored(none, id_col="a", text_col="b").count() == 0
