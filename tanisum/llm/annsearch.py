@@ -52,8 +52,9 @@ def _shortlists(x: np.ndarray, codes: np.ndarray, norms: np.ndarray, cb: Codeboo
     order = np.argsort(mine, kind="stable")
     start = np.searchsorted(mine[order], np.arange(int(max(mine.max(initial=0), near.max(initial=0))) + 2))
     number = np.diff(start)
-    shift = (np.arange(books) * words).astype(np.int32)
-    offsets = codes.astype(np.int32) + shift
+    # in the order of lists, whose rows are read one after another
+    offsets = np.ascontiguousarray((codes[order] + np.arange(books) * words).astype(np.int32).T)
+    length = norms[order]
     count = number[near].sum(1)
     asks = np.argsort(count, kind="stable")
     asks = asks[count[asks] > 0]
@@ -67,27 +68,23 @@ def _shortlists(x: np.ndarray, codes: np.ndarray, norms: np.ndarray, cb: Codeboo
         each = width.sum(1)
         total = np.repeat(start[near[rows]].ravel(), width.ravel())
         begin = np.cumsum(width.ravel()) - width.ravel()
-        cand = order[total + np.arange(len(total)) - np.repeat(begin, width.ravel())]
+        at = total + np.arange(len(total)) - np.repeat(begin, width.ravel())
         who = np.repeat(np.arange(len(rows)), each)
         table = (-2 * (x[rows] @ cb.flat.T)).ravel()
-        score = norms[cand].copy()
-        base = who.astype(np.int32) * np.int32(books * words)
+        score = length[at]
+        base = (who * (books * words)).astype(np.int32)
         for m in range(books):
-            score += table[base + offsets[cand, m]]
+            score += table[base + offsets[m][at]]
         most = int(each.max())
-        place = np.arange(len(cand)) - np.repeat(np.cumsum(each) - each, each)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)
         k = min(size, most)
+        cand = np.full((len(rows), most), -1, np.int32)
+        cand[who, place] = at
         if most > k:
             grid = np.full((len(rows), most), np.inf, np.float32)
             grid[who, place] = score
-            best = np.argpartition(grid, k - 1, axis=1)[:, :k]
-            found = np.full((len(rows), most), -1, np.int64)
-            found[who, place] = cand
-            yield rows, np.take_along_axis(found, best, 1)
-        else:
-            found = np.full((len(rows), most), -1, np.int64)
-            found[who, place] = cand
-            yield rows, found
+            cand = np.take_along_axis(cand, np.argpartition(grid, k - 1, axis=1)[:, :k], 1)
+        yield rows, np.where(cand >= 0, order[cand], -1)
 
 
 def neighbour_rows(own: Sets, raw: Sets, index: Index, k: int, least: float, first_id: np.ndarray, lists: int, size: int, db: np.ndarray | None = None):
@@ -253,7 +250,7 @@ def nearest_records(
     books: int = 8,
     words: int = 64,
     coarse: int = 256,
-    lists: int = 16,
+    lists: int = 24,
     shortlist: int = 128,
     block_rows: int = 24_000,
 ) -> DataFrame:
