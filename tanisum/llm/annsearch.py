@@ -24,7 +24,7 @@ from .quantize import Codebooks, encode, project, train
 from .routing import SMALL, with_blocks
 
 #: Rows of a cell of a large key, on average.
-CELL_ROWS = 500
+CELL_ROWS = 200
 #: Scores that are made at a time.
 SCORES = 2_000_000
 
@@ -230,7 +230,7 @@ def _large(rows: DataFrame, index: Index, k: int, least: float, lists: int, size
     best = found.select(*key, "similarity", F.explode("ids").alias("neighbour")).groupBy(*key).agg(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "neighbour")).alias("best"))
     best = best.join(sets_.select(*key, "n"), key).select(*key, F.slice(F.sort_array("best"), 1, k + 1).alias("best"), F.ceil(F.col("n") / block_rows).alias("parts"))
     # sets with many records, some at a time
-    hot = best.where("parts > 1").select(*key, "parts")
+    hot = sets_.where(F.col("n") > block_rows).select(*key, F.ceil(F.col("n") / block_rows).alias("parts"))
     hot = F.broadcast(hot) if hot.limit(SMALL + 1).count() <= SMALL else hot
     who = members.select(*key, "id").join(hot, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0).cast("long"))).drop("parts")
     best = best.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
@@ -263,8 +263,9 @@ def nearest_records(
     read. The index is approximate: a neighbour outside the ``lists`` nearest
     of ``coarse`` cells, or the ``shortlist`` best codes in them, is missed;
     every row is indexed. A value of ``by`` with more than ``block_rows`` rows
-    gets finer cells, about one for 500 rows, and its rows are sent to the
-    cells they look at, so its work grows with its rows. Empty tables give an
+    gets finer cells, about one for 200 rows, and its rows are sent to the
+    cells they look at, of each of which the best quarter of ``shortlist``
+    codes are ranked again, so its work grows with its rows. Empty tables give an
     empty result.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(by).alias("by"), F.col(text_col).alias("text"))
@@ -288,4 +289,4 @@ def nearest_records(
     large = blocked.where("blocks > 1")
     most = large.groupBy("by").count().agg(F.max("count")).first()[0]
     fine = fitted._replace(cells=deepened(sample, fitted.cells.levels[0], most, CELL_ROWS))
-    return found.unionByName(_large(large.select("by", "id", "text"), fine, k, min_similarity, lists, shortlist, block_rows))
+    return found.unionByName(_large(large.select("by", "id", "text"), fine, k, min_similarity, lists, max(k + 1, shortlist // 4), block_rows))
