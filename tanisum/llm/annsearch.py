@@ -109,16 +109,19 @@ def neighbour_rows(own: Sets, raw: Sets, index: Index, k: int, least: float, fir
         a, b = a[keep], b[keep]
         s = bits.similarity(a, b)
         good = (s >= least) & (s > 0)
-        a, b, s = a[good], b[good], s[good]
-        o = np.lexsort((first_id[b], -s, a))
-        a, b, s = a[o], b[o], s[o]
-        top = np.arange(len(a)) - np.searchsorted(a, a) < k
-        out.append((a[top], b[top], s[top]))
+        out.append((a[good], b[good], s[good]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
-    o = np.argsort(a, kind="stable")
-    return a[o], b[o], s[o]
+    if db is None:
+        # who finds a row is also found by it
+        n = np.int64(len(x))
+        code, at = np.unique(np.concatenate([a * n + b, b * n + a]), return_index=True)
+        a, b, s = code // n, code % n, np.concatenate([s, s])[at]
+    o = np.lexsort((first_id[b], -s, a))
+    a, b, s = a[o], b[o], s[o]
+    top = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[top], b[top], s[top]
 
 
 def search_block(strings: list[str | None], ids: np.ndarray, index: Index, k: int, least: float, lists: int, size: int):
@@ -261,9 +264,9 @@ def nearest_records(
     Rows with a null id, ``by`` or text, or without pieces, take no part; ids
     should be unique, rows that repeat one count once. Other columns aren't
     read. The index is approximate: a neighbour outside the ``lists`` nearest
-    of ``coarse`` cells, or the ``shortlist`` best codes in them, is missed;
-    every row is indexed. A value of ``by`` with more than ``block_rows`` rows
-    gets finer cells, about one for 200 rows, and its rows are sent to the
+    of ``coarse`` cells, or the ``shortlist`` best codes in them, is missed if
+    it misses the record too; every row is indexed. A value of ``by`` with more
+    than ``block_rows`` rows gets finer cells, about one for 200 rows, and its rows are sent to the
     cells they look at, of each of which the best quarter of ``shortlist``
     codes are ranked again, so its work grows with its rows. Empty tables give an
     empty result.
