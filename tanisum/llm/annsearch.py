@@ -253,7 +253,7 @@ def nearest_records(
     books: int = 8,
     words: int = 64,
     coarse: int = 256,
-    lists: int = 24,
+    lists: int = 20,
     shortlist: int = 128,
     block_rows: int = 24_000,
 ) -> DataFrame:
