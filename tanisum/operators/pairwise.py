@@ -127,23 +127,26 @@ def tanimoto_mixed(on: Column, words: Column, m: int) -> Column:
 def nearest(fp: DataFrame, queries: DataFrame, m: int, k: int = 5, kind: str = "JT") -> DataFrame:
     """``id``, ``neighbour``, ``sim``, ``rank``: for each query the k most similar other objects, ties by id."""
     _kind(kind)
-    rows = fp.join(queries.select("id").distinct().withColumn("asks", F.lit(True)), "id", "left").select("id", "on", F.coalesce("asks", F.lit(False)).alias("asks"))
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        c1, c2 = key[0].as_py(), key[1].as_py()
+    asks = fp.join(queries.select("id").distinct(), "id", "left_semi").select("id", "on")
+    # rows are cut into blocks, and so are those that ask; only blocks meet
+    db, qb = (max(1, -(-t.count() // BLOCK)) for t in (fp, asks))
+    own = lambda n: F.array(F.pmod(F.xxhash64("id"), F.lit(n)))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    rows = fp.select("id", "on", F.lit(False).alias("asks"), own(db).alias("d"), every(qb).alias("q"))
+    rows = rows.unionByName(asks.select("id", "on", F.lit(True).alias("asks"), every(db).alias("d"), own(qb).alias("q")))
+    rows = rows.select("id", "on", "asks", F.explode("d").alias("c1"), "q").select("id", "on", "asks", "c1", F.explode("q").alias("c2"))
+
+    def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
-        block, asks, ids, x = t["block"].to_numpy(), t["asks"].to_numpy(zero_copy_only=False), t["id"].to_numpy(), _dense(t["on"], m)
-        out = []
-        for a, b in {(c1, c2), (c2, c1)}:
-            q, d = (block == a) & asks, block == b
-            s = pair_values(x[q], x[d], kind)
-            s[(ids[q][:, None] == ids[d][None]) | np.isnan(s)] = -1
-            order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            top = np.take_along_axis(s, order, 1)
-            keep = top >= 0
-            out.append((np.repeat(ids[q], keep.sum(1)), ids[d][order[keep]] if len(order) else np.zeros(0, np.int64), top[keep]))
-        return pa.table({c: pa.array(np.concatenate([o[i] for o in out]), k_) for i, (c, k_) in enumerate((("id", pa.int64()), ("neighbour", pa.int64()), ("sim", pa.float64())))})
-
-    found = block_pairs(rows, "id", BLOCK).groupBy("c1", "c2").applyInArrow(run, "id long, neighbour long, sim double")
+        q, ids, x = t["asks"].to_numpy(zero_copy_only=False), t["id"].to_numpy(), _dense(t["on"], m)
+        s = pair_values(x[q], x[~q], kind)
+        s[(ids[q][:, None] == ids[~q][None]) | np.isnan(s)] = -1
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        top = np.take_along_axis(s, order, 1)
+        keep = top >= 0
+        return pa.table({"id": pa.array(np.repeat(ids[q], keep.sum(1)), pa.int64()), "neighbour": pa.array(ids[~q][order[keep]] if order.size else np.zeros(0, np.int64), pa.int64()), "sim": pa.array(top[keep], pa.float64())})
+
+    cells = rows.repartition(min(db * qb, 100_000), "c1", "c2").groupBy("c1", "c2")
+    found = cells.applyInArrow(lambda t: run(t), "id long, neighbour long, sim double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
