@@ -1,14 +1,16 @@
-"""Groups of similar records: k-means cells over hashed weighted features, then exact links.
-
-Every record goes to its nearest k-means cells. Within a cell, pairs whose
-projected distance allows the wanted similarity are checked exactly, and the
-links are joined to components.
+"""Groups of similar records: components of exact links.
+
+Sets that are similar enough differ in few tokens, so in no more of the
+parities of their tokens by hashed bucket. Within a block, products of parity
+rows leave out the pairs that differ in too many; the others are checked
+exactly unless they are in one component already. Sets too long for that, and
+keys too large for a block, meet under their first shared rare tokens, as in
+``simjoin``. So no link is missed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,25 +18,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from . import kmeans
-from .cells import Cells, deepened
-from .components import components
-from .pieces import Bits, dense_ids, distinct_sets, pieces, set_hashes, token_buckets
+from .components import components, roots
+from .pieces import Bits, Sets, dense_ids, distinct_sets, pieces, token_buckets
 from .quantize import DIM, project
-from .routing import SMALL, cells_by_key, join_hot, with_blocks
-
-BUCKETS = 4096
-
+from .routing import SMALL, join_hot, with_blocks
+from .simjoin import linked_rows, routed_sets
 
-#: Rows of a cell of a large key, on average; as many times more come to look for links there as there are probes.
-CELL_ROWS = 125
 #: Records of a set, or of a group, that are handled in one task.
 MEMBERS = 10_000
-
-
-class Model(NamedTuple):
-    weights: np.ndarray
-    centers: np.ndarray
+#: Parities of a set, and rows that are compared with as many others at a time.
+PARITIES, TILE = 256, 2048
+#: Pairs that are checked at a time.
+CHECKED = 500_000
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, by: str) -> DataFrame:
@@ -42,166 +37,88 @@ def _rows(df: DataFrame, id_col: str, text_col: str, by: str) -> DataFrame:
     return rows.where("id is not null and by is not null and text is not null")
 
 
-def bucket_weights(rows: DataFrame) -> np.ndarray:
-    """Weight of each hashed bucket from its document frequency over all rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, docs = np.zeros(BUCKETS, np.int64), 0
-        for b in batches:
-            sets = pieces(b.column("text").to_pylist())
-            n += np.bincount(token_buckets(sets.tokens, BUCKETS), minlength=BUCKETS)
-            docs += int((sets.sizes > 0).sum())
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"bucket": np.concatenate([at, [-1]]), "n": np.concatenate([n[at], [docs]])})
-
-    got = rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    count = {r["bucket"]: r["n"] for r in got}
-    docs = max(1, count.pop(-1, 0))
-    w = np.zeros(BUCKETS, np.float32)
-    for b, n in count.items():
-        w[b] = np.sqrt(np.log1p(docs / n))
-    return w / max(float(w.max(initial=0)), 1e-9)
-
-
-def fit(rows: DataFrame, cells: int, fit_rows: int) -> tuple[Model, DataFrame]:
-    """Weights over all rows; centres from about fit_rows of them, those of least hash of the id; and their vectors."""
-    weights = bucket_weights(rows)
-    n = rows.count()
-    share = int(min(1.0, fit_rows / max(1, n)) * 1_000_000)
-    order = F.xxhash64("id", F.lit(3))
-    picked = rows.where(F.pmod(order, F.lit(1_000_000)) <= share).withColumn("h", order).orderBy("h", "id", "text").limit(int(fit_rows * 1.2))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pieces(b.column("text").to_pylist())
-            some = np.flatnonzero(sets.sizes > 0)
-            x = project(sets.take(some), DIM, weights)
-            yield pa.RecordBatch.from_pydict({"id": b.column("id").to_numpy()[some], "vec": [v.tobytes() for v in x]}, schema=pa.schema([("id", pa.int64()), ("vec", pa.binary())]))
-
-    width = max(1, min(kmeans.PARTITIONS, fit_rows // 5000, n // 500))
-    vectors = materialize(picked.select("id", "text").repartition(width, "id").mapInArrow(run, "id long, vec binary"), "fit-vectors")
-    centers = kmeans.fit(vectors, max(1, min(cells, n // 64)))
-    return Model(weights, centers if len(centers) else np.zeros((1, DIM), np.float32)), vectors
-
-
-def top_cells(x: np.ndarray, centers: np.ndarray, w: int) -> np.ndarray:
-    """The w nearest centres of each row, nearest first."""
-    w = min(w, len(centers))
-    out = np.empty((len(x), w), np.int64)
-    half = 0.5 * (centers**2).sum(1)
-    for lo in range(0, len(x), 2048):
-        d = half - x[lo : lo + 2048] @ centers.T
-        near = np.argpartition(d, w - 1, axis=1)[:, :w] if w < len(centers) else np.broadcast_to(np.arange(w), d.shape)
-        out[lo : lo + 2048] = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1), 1)
-    return out
-
-
-def _close(x: np.ndarray, sq: np.ndarray, size: np.ndarray, members: np.ndarray, t: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell's members whose estimated similarity is at least t - slack; blockwise. sq: squared lengths of x."""
-    out = []
-    for lo in range(0, len(members), 2048):
-        a = members[lo : lo + 2048]
-        for lo2 in range(lo, len(members), 2048):
-            b = members[lo2 : lo2 + 2048]
-            apart = sq[a][:, None] + sq[b][None] - 2 * (x[a] @ x[b].T)
-            both = (size[a][:, None] + size[b][None]).astype(np.float32)
-            # similarity = (both - apart) / (both + apart)
-            i, j = np.nonzero(both - apart >= (t - slack) * (both + apart))
+def _few_apart(sets: Sets, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of row pairs, all those among them that can have similarity >= t."""
+    n = sets.sizes
+    order = np.argsort(n, kind="stable")
+    sets, n = sets.take(order), n[order]
+    parity = np.zeros((len(n), PARITIES), np.float32)
+    for lo in range(0, len(n), TILE):
+        part = sets.take(np.arange(lo, min(len(n), lo + TILE)))
+        spots = part.rows * PARITIES + token_buckets(part.tokens, PARITIES)
+        parity[lo : lo + TILE] = np.bincount(spots, minlength=len(part.sizes) * PARITIES).reshape(-1, PARITIES) & 1
+    # apart <= (na + nb) (1 - t) / (1 + t), and at least |pa| + |pb| - 2 pa.pb
+    need = ((parity.sum(1) - n * ((1 - t) / (1 + t))) / 2).astype(np.float32)
+    for lo in range(0, len(n), TILE):
+        hi = min(len(n), lo + TILE)
+        end = int(np.searchsorted(n, n[hi - 1] / t + 1e-6, side="right"))
+        for lo2 in range(lo, end, TILE):
+            hi2 = min(end, lo2 + TILE)
+            both = parity[lo:hi] @ parity[lo2:hi2].T
+            both -= need[lo2:hi2]
+            i, j = np.divmod(np.flatnonzero(both >= need[lo:hi, None] - 1e-2), hi2 - lo2)
             if lo == lo2:
                 i, j = i[i < j], j[i < j]
-            out.append((a[i], b[j]))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-
-
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each node's component."""
-    p = np.arange(n)
-    while True:
-        q = p.copy()
-        np.minimum.at(q, a, p[b])
-        np.minimum.at(q, b, p[a])
-        np.minimum.at(q, p[a], q[b])
-        np.minimum.at(q, p[b], q[a])
-        while (q[q] != q).any():
-            q = q[q]
-        if (q == p).all():
-            return p
-        p = q
-
-
-def link_block(strings: list[str | None], ids: np.ndarray, model: Model | None, t: float, probes: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """(id, least id of its group) for every record of a block that has company; without a model the block is one cell."""
+            for k in range(0, len(i), CHECKED):
+                yield order[i[k : k + CHECKED] + lo], order[j[k : k + CHECKED] + lo2]
+
+
+def linked_block(sets: Sets, t: float) -> np.ndarray:
+    """Least member of each row's component, where distinct rank-ordered sets of similarity >= t are linked."""
+    n = sets.sizes
+    # longer sets differ in most parities that there are, similar or not
+    most = PARITIES * (1 + t) / (6 * max(1 - t, 1e-9))
+    short = np.flatnonzero(n <= most)
+    bits = Bits(sets, int(sets.tokens.max(initial=0)) + 1)
+    root = np.arange(len(n))
+    for a, b in _few_apart(sets.take(short), t):
+        a, b = short[a], short[b]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        link = bits.similarity(a, b) >= t
+        if link.any():
+            root = roots(len(n), root[a[link]], root[b[link]])[root]
+    if len(short) < len(n):
+        near = np.flatnonzero(n >= t * most - 1e-6)
+        own = near[linked_rows(sets.take(near), t)]
+        root = roots(len(n), np.concatenate([np.arange(len(n)), near]), np.concatenate([root, own]))
+    return root
+
+
+def link_block(strings: list[str | None], ids: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least id of its group) for every record of a block that has company."""
     sets = pieces(strings)
     some = np.flatnonzero(sets.sizes > 0)
     some = some[np.argsort(ids[some], kind="stable")]
     sets, ids = sets.take(some), ids[some]
-    rep, group = distinct_sets(sets)
     if len(ids) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    raw = sets.take(rep)
-    own, _ = dense_ids(raw)
-    bits = Bits(own, int(own.tokens.max(initial=0)) + 1)
-    cell = np.zeros((len(rep), 1), np.int64) if model is None else top_cells(project(raw, DIM, model.weights), model.centers, probes)
-    x = project(raw)
-    sq = (x**2).sum(1)
-    flat = cell.ravel()
-    order = np.argsort(flat, kind="stable")
-    who = order // cell.shape[1]
-    start = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-    codes = [np.zeros(0, np.int64)]
-    width = np.int64(len(rep))
-    for lo, hi in zip(start, np.concatenate([start[1:], [len(flat)]]), strict=True):
-        if hi - lo > 1:
-            a, b = _close(x, sq, own.sizes, who[lo:hi], t, slack)
-            codes.append(np.minimum(a, b) * width + np.maximum(a, b))
-    code = np.sort(np.concatenate(codes))
-    if len(code):
-        code = code[np.concatenate([[True], code[1:] != code[:-1]])]
-    a, b = code // width, code % width
-    link = bits.similarity(a, b) >= t
-    root = _roots(len(rep), a[link], b[link])
+    rep, group = distinct_sets(sets)
+    own, _ = dense_ids(sets.take(rep))
+    root = linked_block(own, t)[group]
     first = np.full(len(rep), np.iinfo(np.int64).max)
-    np.minimum.at(first, root[group], ids)
-    own_first = first[root[group]]
-    n = np.bincount(root[group], minlength=len(rep))[root[group]]
-    return ids[n > 1], own_first[n > 1]
+    np.minimum.at(first, root, ids)
+    many = np.bincount(root, minlength=len(rep))[root] > 1
+    return ids[many], first[root[many]]
 
 
-def similarity_groups(
-    df: DataFrame,
-    *,
-    id_col: str,
-    text_col: str,
-    by: str,
-    threshold: float = 0.7,
-    cells: int = 1024,
-    probes: int = 16,
-    slack: float = 0.2,
-    fit_rows: int = 40_000,
-    block_rows: int = 32_000,
-) -> DataFrame:
+def similarity_groups(df: DataFrame, *, id_col: str, text_col: str, by: str, threshold: float = 0.7, block_rows: int = 32_000) -> DataFrame:
     """``id``, ``first_id`` of every record in a group of two or more; first_id is the group's least id.
 
     Within a value of ``by``, records of similarity >= threshold belong
     together, as do those joined by a chain of such records. Rows with a null
     id, ``by`` or text, or without pieces, are in no group; copies are records
-    of their own; other columns aren't read. A link is missed where two
-    records share none of their ``probes`` nearest cells. Values of ``by`` with
-    more than ``block_rows`` rows are cut by finer cells, about one for 125
-    rows, and their partial groups are joined over the whole table. Also
-    missed are links whose similarity, as estimated from 96 numbers a record,
-    is more than ``slack`` too low. Empty tables give an empty result.
+    of their own; other columns aren't read. No link is missed. Values of
+    ``by`` with more than ``block_rows`` rows are sent out under rare tokens
+    that similar records share, and their partial groups are joined over the
+    whole table. Empty tables give an empty result.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
     rows = _rows(df, id_col, text_col, by)
-    fitted, vectors = fit(rows, cells, fit_rows)
-    model = rows.sparkSession.sparkContext.broadcast(fitted)
 
     def link(key: tuple, table: pa.Table) -> pa.Table:
-        a, first = link_block(table["text"].to_pylist(), table["id"].to_numpy(), model.value, threshold, probes, slack)
-        return pa.table({"id": pa.array(a, pa.int64()), "first_id": pa.array(first, pa.int64())})
-
-    def near(key: tuple, table: pa.Table) -> pa.Table:
-        a, first = link_block(table["text"].to_pylist(), table["id"].to_numpy(), None, threshold, 1, slack)
+        a, first = link_block(table["text"].to_pylist(), table["id"].to_numpy(), threshold)
         return pa.table({"id": pa.array(a, pa.int64()), "first_id": pa.array(first, pa.int64())})
 
     blocked, width, cut = with_blocks(rows, "by", "id", block_rows)
@@ -209,37 +126,25 @@ def similarity_groups(
     done = whole.groupBy("by").applyInArrow(link, "id long, first_id long")
     if not cut:
         return done
-    large = blocked.where("blocks > 1").select("id", "by", "text")
-    most = large.groupBy("by").count().agg(F.max("count")).first()[0]
-    # bounded by fit_rows
-    sample = kmeans.vectors_of(vectors.orderBy("id").select("vec").toArrow().combine_chunks().to_batches()[0]) if most > len(fitted.centers) * CELL_ROWS else np.zeros((0, DIM), np.float32)
-    return done.unionByName(_large(large, fitted.weights, deepened(sample, fitted.centers, most, CELL_ROWS), near, probes, block_rows))
-
-
-def _large(rows: DataFrame, weights: np.ndarray, cells: Cells, link, probes: int, block_rows: int) -> DataFrame:  # noqa: ANN001
-    """Groups within keys of any size: equal sets are linked once, in the cells they go to, and links joined to components."""
-    by_type = dict(rows.dtypes)["by"]
-    known = rows.sparkSession.sparkContext.broadcast((weights, cells))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pieces(b.column("text").to_pylist())
-            one, two = (h.view(np.int64) for h in set_hashes(sets))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(one), pa.array(two)], names=["id", "by", "text", "h1", "h2"]).filter(pa.array(sets.sizes > 0))
+    return done.unionByName(_large(blocked.where("blocks > 1").select("id", "by", "text"), threshold, block_rows))
 
-    def cell_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = known.value[1].nearest(project(pieces(b.column("text").to_pylist()), DIM, known.value[0]), probes)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(at), pa.list_(pa.int64()))], names=["id", "by", "text", "cells"])
 
+def _large(rows: DataFrame, t: float, block_rows: int) -> DataFrame:
+    """Groups within keys of any size: equal sets are linked once, in the cells they meet in, and links joined to components."""
     key = ["by", "h1", "h2"]
-    members = materialize(rows.mapInArrow(hashed, f"id long, by {by_type}, text string, h1 long, h2 long"), "members")
-    sets_ = materialize(members.groupBy(*key).agg(F.min("id").alias("first"), F.min("text").alias("text"), F.count(F.lit(1)).alias("n")), "sets")
-    sent = sets_.select(F.col("first").alias("id"), "by", "text").mapInArrow(cell_of, f"id long, by {by_type}, text string, cells array<long>")
-    sent = sent.select("id", "by", "text", F.explode("cells").alias("cell")).withColumn("key", F.struct("by", "cell"))
-    parts, _ = cells_by_key(sent, "key", "id", block_rows // 2)
-    stars = parts.select("id", "text", "by", "cell", "c1", "c2").groupBy("by", "cell", "c1", "c2").applyInArrow(link, "id long, first_id long")
-    found = components(stars.where("id <> first_id").select(F.col("id").alias("u"), F.col("first_id").alias("v")))
+    members, sets_, cells, opened = routed_sets(rows.withColumn("side", F.lit(0)), t, block_rows)
+
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        sets, start = opened(table)
+        ids = table["first"].to_numpy()
+        root = linked_rows(sets, t, start)
+        first = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(first, root, ids)
+        first = first[root]
+        return pa.table({"id": ids[first != ids], "first_id": first[first != ids]})
+
+    stars = cells.groupBy("by", "cell", "c1", "c2").applyInArrow(link, "id long, first_id long")
+    found = components(stars.select(F.col("id").alias("u"), F.col("first_id").alias("v")))
     found = found.unionByName(found.select(F.col("root").alias("id")).distinct().withColumn("root", F.col("id")))
     rooted = sets_.select(*key, F.col("first").alias("id"), "n").join(found, "id", "left").where("root is not null or n > 1")
     rooted = rooted.select(*key, "n", F.coalesce("root", "id").alias("first_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,22 @@ from ..session import materialize
 from .routing import join_hot
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of each node's component; nodes 0 to n - 1 in memory."""
+    p = np.arange(n)
+    while True:
+        q = p.copy()
+        np.minimum.at(q, a, p[b])
+        np.minimum.at(q, b, p[a])
+        np.minimum.at(q, p[a], q[b])
+        np.minimum.at(q, p[b], q[a])
+        while (q[q] != q).any():
+            q = q[q]
+        if (q == p).all():
+            return p
+        p = q
+
+
 def _digest(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)).alias("h")).first()
     return r["n"], r["h"] or 0

@@ -14,7 +14,7 @@ tokens are counted exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .components import roots
 from .pieces import Bits, Sets, dense_ids, distinct_sets, mix64, ordered_ids, pieces, set_hashes, token_buckets
 from .routing import SMALL, cells_by_key, with_blocks
 
@@ -180,6 +181,24 @@ def similar_rows(sets: Sets, t: float, bits: Bits | None = None, start: list | N
                 yield np.minimum(a, b), np.maximum(a, b), s
 
 
+def linked_rows(sets: Sets, t: float, start: list | None = None) -> np.ndarray:
+    """Least member of each row's component, where distinct rank-ordered sets of similarity >= t are linked.
+
+    Pairs within a component that is known already aren't compared.
+    """
+    n = sets.sizes
+    bits = Bits(sets, int(sets.tokens.max(initial=0)) + 1)
+    root = np.arange(len(n))
+    for p in _postings(sets, t, start):
+        for a, b, _ in _meetings(p, n, t):
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            link = bits.similarity(a, b) >= t
+            if link.any():
+                root = roots(len(n), root[a[link]], root[b[link]])[root]
+    return root
+
+
 def _expand_members(ga: np.ndarray, gb: np.ndarray, s: np.ndarray, members: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of groups -> pairs of their members, PAIRS or so at a time, however large a group is."""
     ca, cb = off[ga + 1] - off[ga], off[gb + 1] - off[gb]
@@ -295,8 +314,18 @@ FREQUENCIES, LISTS = 1 << 18, 1 << 20
 MEMBERS = 10_000
 
 
-def _large_pairs(rows: DataFrame, t: float, block_rows: int, two: bool) -> DataFrame:
-    """Pairs within keys of any size: equal sets are joined once, and meet in cells of combinations of rare tokens."""
+class Routed(NamedTuple):
+    """Rows with the hashes of their sets, the distinct sets, and these in the cells in which all similar ones meet."""
+
+    members: DataFrame
+    sets: DataFrame
+    cells: DataFrame
+    #: Sets of a cell's table, and the postings to begin with.
+    opened: Callable[[pa.Table], tuple[Sets, list]]
+
+
+def routed_sets(rows: DataFrame, t: float, block_rows: int) -> Routed:
+    """Keys of any size: equal sets once, in cells of combinations of rare tokens."""
     spark = rows.sparkSession
     by_type = dict(rows.dtypes)["by"]
 
@@ -310,7 +339,7 @@ def _large_pairs(rows: DataFrame, t: float, block_rows: int, two: bool) -> DataF
     key = ["by", "h1", "h2"]
     members = rows.select("by", "id", "side", "text").mapInArrow(hashed, f"by {by_type}, id long, side int, text string, h1 long, h2 long")
     members = materialize(members, "members")
-    reps = members.groupBy(*key).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n")).withColumn("bh", F.xxhash64("by"))
+    reps = members.groupBy(*key).agg(F.min("text").alias("text"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("bh", F.xxhash64("by"))
     reps = materialize(reps, "sets")
 
     def frequencies(b: pa.RecordBatch) -> np.ndarray:
@@ -350,24 +379,36 @@ def _large_pairs(rows: DataFrame, t: float, block_rows: int, two: bool) -> DataF
                 spots = pa.ListArray.from_arrays(off, pa.array(pos * 4 + level))
                 keys = pa.ListArray.from_arrays(off, pa.array(k.view(np.int64)))
                 at = pa.array(row[start])
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("by", "h1", "h2", "n", "text")), pa.array(cell[start]), keys, spots], names=["by", "h1", "h2", "n", "text", "cell", "keys", "spots"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("by", "h1", "h2", "n", "first", "text")), pa.array(cell[start]), keys, spots], names=["by", "h1", "h2", "n", "first", "text", "cell", "keys", "spots"])
 
-    schema = f"by {by_type}, h1 long, h2 long, n long, text string, cell long, keys array<long>, spots array<long>"
-    routed = reps.select("by", "h1", "h2", "n", "text", "bh").mapInArrow(posted, schema)
+    schema = f"by {by_type}, h1 long, h2 long, n long, first long, text string, cell long, keys array<long>, spots array<long>"
+    routed = reps.select("by", "h1", "h2", "n", "first", "text", "bh").mapInArrow(posted, schema)
     # lists that no three tokens make short enough are cut into blocks
     routed = materialize(routed, "posted").withColumn("key", F.struct("by", "cell"))
     parts, _ = cells_by_key(routed, "key", "h1", 2 * block_rows)
 
+    def opened(table: pa.Table) -> tuple[Sets, list]:
+        sets, _ = ordered_ids(pieces(table["text"].to_pylist()), held.value.frequency)
+        keys, spots = table["keys"].combine_chunks(), table["spots"].combine_chunks()
+        row = np.repeat(np.arange(len(table)), np.diff(keys.offsets.to_numpy()))
+        k, spot = keys.flatten().to_numpy().view(np.uint64), spots.flatten().to_numpy()
+        return sets, [(level, k[spot % 4 == level], row[spot % 4 == level], spot[spot % 4 == level] // 4) for level in (1, 2, 3)]
+
+    return Routed(members, reps, parts.drop("key"), opened)
+
+
+def _large_pairs(rows: DataFrame, t: float, block_rows: int, two: bool) -> DataFrame:
+    """Pairs within keys of any size: equal sets are joined once."""
+    by_type = dict(rows.dtypes)["by"]
+    key = ["by", "h1", "h2"]
+    members, reps, cells, opened = routed_sets(rows, t, block_rows)
+
     def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         crossing = key[2].as_py() != key[3].as_py()
         block = table["block"].to_numpy()
         h1, h2, n = (table[c].to_numpy() for c in ("h1", "h2", "n"))
-        sets, _ = ordered_ids(pieces(table["text"].to_pylist()), held.value.frequency)
-        keys, spots = table["keys"].combine_chunks(), table["spots"].combine_chunks()
-        row = np.repeat(np.arange(len(h1)), np.diff(keys.offsets.to_numpy()))
-        k, spot = keys.flatten().to_numpy().view(np.uint64), spots.flatten().to_numpy()
-        start = [(level, k[spot % 4 == level], row[spot % 4 == level], spot[spot % 4 == level] // 4) for level in (1, 2, 3)]
+        sets, start = opened(table)
         own_by = table["by"]
         for a, b, s in similar_rows(sets, t, start=start):
             if crossing:
@@ -375,7 +416,7 @@ def _large_pairs(rows: DataFrame, t: float, block_rows: int, two: bool) -> DataF
                 a, b, s = a[cross], b[cross], s[cross]
             yield pa.RecordBatch.from_arrays([own_by.take(pa.array(a)).combine_chunks(), *map(pa.array, (h1[a], h2[a], n[a], h1[b], h2[b], n[b], s))], names=["by", "a1", "a2", "na", "b1", "b2", "nb", "similarity"])
 
-    grouped = parts.drop("key").groupBy("by", "cell", "c1", "c2")
+    grouped = cells.groupBy("by", "cell", "c1", "c2")
     pairs = grouped.applyInArrow(join, f"by {by_type}, a1 long, a2 long, na long, b1 long, b2 long, nb long, similarity double")
     same = reps.where("n > 1").select("by", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("n").alias("na"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("nb"), F.lit(1.0).alias("similarity"))
     pairs = pairs.unionByName(same)

@@ -165,6 +165,22 @@ def test_groups(table, rows, block):
     assert all(set(r["typical"]) <= sizes[r["first_id"]] for r in told)
 
 
+@pytest.mark.parametrize("block", [16_000, 2])
+def test_links_that_an_estimate_would_miss(spark, block):
+    rng = random.Random(11)
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789#()[]+@/=.*%"
+    base = "".join(rng.choices(alphabet, k=70))
+    grown = base
+    # pieces whose projections point the same way look farther apart than they are
+    while similarity(grams(base), grams(grown)) * (len(grams(grown)) / (len(grams(grown)) + 1)) >= 0.7:
+        x = project(pieces.pieces([base, *[grown + c for c in alphabet]]))
+        grown += alphabet[((x[1:] - x[0]) ** 2).sum(1).argmax()]
+    rows = [(1, 0, base), (2, 0, "".join(rng.choices(alphabet, k=70))), (3, 0, grown), (4, 1, base)]
+    df = spark.createDataFrame(rows, "rec bigint, grp bigint, s string")
+    got = clusters.similarity_groups(df, id_col="rec", text_col="s", by="grp", threshold=0.7, block_rows=block)
+    assert sorted((r["id"], r["first_id"]) for r in got.collect()) == [(1, 1), (3, 1)]
+
+
 @pytest.mark.parametrize("few", [10_000, 3])
 def test_large_groups_are_described_in_parts(table, rows, monkeypatch, few):
     monkeypatch.setattr(clusters, "MEMBERS", few)
