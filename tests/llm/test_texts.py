@@ -174,6 +174,16 @@ def test_rare_words_are_counted_too(spark, monkeypatch, by_name):
     assert lex.count("été") == sum("été" in t.split() for _, t in corpus())
 
 
+def test_words_beyond_the_named_ones_restore_the_same(spark, monkeypatch):
+    docs = [*corpus(), (500, "źrebięta déjà"), (501, "źrebięta źrebięta"), (506, "źrebięta"), (502, "źrebi?ta forêt"), (502, "plain"), (503, "źrebięta-été".encode().decode("latin-1")), (504, "książka źrebięta".encode("cp1250").decode("cp1252"))]
+    docs.append((505, "źrebięta".encode().decode("latin-1") + "-" + "góra".encode().decode("cp437")))
+    df = spark.createDataFrame(docs, "id long, text string")
+    want = sorted(mojibake.restored(df, id_col="id", text_col="text").collect())
+    assert (502, "źrebięta forêt", 1) in want and {r["id"] for r in want} == {502, 503, 504, 505}
+    monkeypatch.setattr(mojibake, "LEXICON", 40)
+    assert sorted(mojibake.restored(df, id_col="id", text_col="text").collect()) == want
+
+
 def test_no_texts(spark):
     none = spark.createDataFrame([], "a bigint, b string")
     assert mojibake.restored(none, id_col="a", text_col="b").count() == 0
